@@ -181,3 +181,20 @@ def best_row(df: DataFrame, keys: Sequence[str], score: Column, largest: bool =
     pick = F.max_by if largest else F.min_by
     one = df.groupBy(*keys).agg(pick(F.struct(*others), score).alias("__row"))
     return one.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*df.columns)
+
+
+def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """1-based position over the whole table in ``order`` (which must be unique), with no hot task.
+
+    The range sort spreads the rows whatever their keys; each partition then needs one number, the count of
+    the partitions before it. The sorted rows are written once, so both uses see the same partitions.
+    """
+    from ..session import cut_lineage
+
+    rows = df.sort(*order).withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    rows = cut_lineage(rows)
+    counts = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
+    local = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(offsets, "__p").withColumn(name, F.col("__o") + local + 1).drop("__p", "__i", "__o")

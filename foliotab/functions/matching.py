@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import broadcast_if_small
 
-def _grams(col: Column, size: int) -> Column:
-    """Distinct character grams; a shorter text is its own single gram."""
-    n = F.length(col)
-    starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(col, i, F.lit(size))))
+
+def _grams(col: Column, size: int | Column) -> Column:
+    """Distinct character grams; a shorter text is its own single gram.
+
+    The text is cut into characters once: ``substring`` would walk it from the start for every gram.
+    """
+    size = F.lit(size) if isinstance(size, int) else size
+    chars = F.filter(F.split(col, ""), lambda c: c != "")
+    starts = F.sequence(F.lit(1), F.greatest(F.length(col) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), "")))
 
 
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, size: int = 6) -> DataFrame:
@@ -30,26 +36,19 @@ def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, si
         .agg(F.min(F.struct("__f", F.xxhash64("__g").alias("h"), "__g")).alias("__a"))
         .select("__n", F.col("__a.__g").alias("__g"))
     )
-    lengths = F.sort_array(F.collect_set(F.length("__g")))  # at most `size` different lengths
-    sizes = anchors.agg(lengths.alias("__sizes"))
+    anchors = broadcast_if_small(anchors)
+    sizes = anchors.agg(F.collect_set(F.length("__g")).alias("__sizes"))  # at most `size` different lengths
     texts = hay.select(F.col(text).alias("__t")).distinct()
     probes = (
-        texts.join(F.broadcast(sizes))  # one row with at most `size` integers
+        texts.join(F.broadcast(sizes))  # one row
         .select("__t", F.explode("__sizes").alias("__k"))
-        .select("__t", F.explode(_sized_grams(F.col("__t"), F.col("__k"))).alias("__g"))
+        .filter(F.length("__t") >= F.col("__k"))
+        .select("__t", F.explode(_grams(F.col("__t"), F.col("__k"))).alias("__g"))
     )
     pairs = probes.join(anchors, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t")
     return needles.join(pairs, F.col(needle) == F.col("__n")).join(hay, F.col(text) == F.col("__t")).drop("__n", "__t")
 
 
-def _sized_grams(col: Column, size: Column) -> Column:
-    n = F.length(col)
-    return F.when(
-        n >= size,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(col, i, size))),
-    )
-
-
 def similar_names(left: DataFrame, a: str, right: DataFrame, b: str, cut: float) -> DataFrame:
     """Pairs of distinct lower-cased names with edit ratio >= cut; exact, without comparing all pairs.
 

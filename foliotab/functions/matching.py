@@ -8,44 +8,67 @@ from pyspark.sql import functions as F
 from ..session import broadcast_if_small
 
 
-def _grams(col: Column, size: int | Column) -> Column:
-    """Distinct character grams; a shorter text is its own single gram.
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda an outer expression runs per element."""
+    return F.transform(F.array(value), body)[0]
 
-    The text is cut into characters once: ``substring`` would walk it from the start for every gram.
-    """
+
+def _grams(col: Column, size: int | Column) -> Column:
+    """Distinct character grams; a shorter text is its own single gram."""
     size = F.lit(size) if isinstance(size, int) else size
     chars = F.filter(F.split(col, ""), lambda c: c != "")
     starts = F.sequence(F.lit(1), F.greatest(F.length(col) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), "")))
+    return F.array_distinct(_bound(chars, lambda cs: F.transform(starts, lambda i: F.array_join(F.slice(cs, i, size), ""))))
+
+
+def _word_grams(words: Column) -> Column:
+    """Distinct hashes of three words in a row; needs at least three words."""
+    return F.array_distinct(
+        _bound(
+            words,
+            lambda w: F.transform(
+                F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+            ),
+        )
+    )
+
+
+def _rarest(parts: DataFrame) -> DataFrame:
+    """Per needle the key that fewest needles have."""
+    common = parts.groupBy("__g").agg(F.count("*").alias("__f"))
+    best = parts.join(common, "__g").groupBy("__n").agg(F.min(F.struct("__f", "__g")).alias("__a"))
+    return best.select("__n", F.col("__a.__g").alias("__g"))
 
 
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, size: int = 6) -> DataFrame:
-    """All (needle row, hay row) pairs with ``text`` containing ``needle``; exact.
+    """All (needle row, hay row) pairs with ``text`` containing ``needle``; exact, without comparing all pairs.
 
-    A text can only contain a needle if it contains each gram of it. Every needle is filed under the one of
-    its grams that fewest needles share, every text is probed with its own grams, and the substring test
-    decides. Needles shorter than a gram are filed by their own length. Each pair meets once, as a needle has
-    one anchor and a text's grams are distinct.
+    The words of a needle, but for its first and last, occur whole and in a row in any text that contains it. A
+    needle of five words or more is filed under one triple of those, the one fewest needles share, and texts look
+    up their own triples. Shorter needles are filed under a character gram the same way. The substring test then
+    decides. A needle has one key and a text's keys are distinct, so each pair is met once.
     """
     distinct = needles.select(F.col(needle).alias("__n")).filter(F.length("__n") > 0).distinct()
-    parts = distinct.select("__n", F.explode(_grams(F.col("__n"), size)).alias("__g"))
-    common = parts.groupBy("__g").agg(F.count("*").alias("__f"))
-    anchors = (
-        parts.join(common, "__g")
-        .groupBy("__n")
-        .agg(F.min(F.struct("__f", F.xxhash64("__g").alias("h"), "__g")).alias("__a"))
-        .select("__n", F.col("__a.__g").alias("__g"))
-    )
-    anchors = broadcast_if_small(anchors)
-    sizes = anchors.agg(F.collect_set(F.length("__g")).alias("__sizes"))  # at most `size` different lengths
     texts = hay.select(F.col(text).alias("__t")).distinct()
-    probes = (
-        texts.join(F.broadcast(sizes))  # one row
-        .select("__t", F.explode("__sizes").alias("__k"))
-        .filter(F.length("__t") >= F.col("__k"))
-        .select("__t", F.explode(_grams(F.col("__t"), F.col("__k"))).alias("__g"))
-    )
-    pairs = probes.join(anchors, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t")
+    words = F.split(F.col("__n"), r"\s+")
+    inner = F.slice(words, F.lit(2), F.size(words) - 2)
+    long_ = F.size(words) >= 5
+
+    by_words = broadcast_if_small(_rarest(distinct.filter(long_).select("__n", F.explode(_word_grams(inner)).alias("__g"))))
+    of_text = F.split(F.col("__t"), r"\s+")
+    probes = texts.filter(F.size(of_text) >= 3).select("__t", F.explode(_word_grams(of_text)).alias("__g"))
+    pairs = probes.join(by_words, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t")
+
+    by_chars = broadcast_if_small(_rarest(distinct.filter(~long_).select("__n", F.explode(_grams(F.col("__n"), size)).alias("__g"))))
+    if not by_chars.isEmpty():
+        sizes = by_chars.agg(F.collect_set(F.length("__g")).alias("__sizes"))  # one row, at most `size` lengths
+        probes = (
+            texts.join(F.broadcast(sizes))
+            .select("__t", F.explode("__sizes").alias("__k"))
+            .filter(F.length("__t") >= F.col("__k"))
+            .select("__t", F.explode(_grams(F.col("__t"), F.col("__k"))).alias("__g"))
+        )
+        pairs = pairs.union(probes.join(by_chars, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t"))
     return needles.join(pairs, F.col(needle) == F.col("__n")).join(hay, F.col(text) == F.col("__t")).drop("__n", "__t")
 
 

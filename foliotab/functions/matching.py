@@ -6,11 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-
-
-def _bound(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once: inside a lambda an outer expression runs per element."""
-    return F.transform(F.array(value), body)[0]
+from .text import bound
 
 
 def _grams(col: Column, size: int | Column) -> Column:
@@ -18,13 +14,13 @@ def _grams(col: Column, size: int | Column) -> Column:
     size = F.lit(size) if isinstance(size, int) else size
     chars = F.filter(F.split(col, ""), lambda c: c != "")
     starts = F.sequence(F.lit(1), F.greatest(F.length(col) - size + 1, F.lit(1)))
-    return F.array_distinct(_bound(chars, lambda cs: F.transform(starts, lambda i: F.array_join(F.slice(cs, i, size), ""))))
+    return F.array_distinct(bound(chars, lambda cs: F.transform(starts, lambda i: F.array_join(F.slice(cs, i, size), ""))))
 
 
 def _word_grams(words: Column) -> Column:
     """Distinct hashes of three words in a row; needs at least three words."""
     return F.array_distinct(
-        _bound(
+        bound(
             words,
             lambda w: F.transform(
                 F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))

@@ -99,3 +99,8 @@ def minutes_of_day(col: Column) -> Column:
 def clock(minutes: Column) -> Column:
     m = minutes.cast("int")
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: inside a lambda an outer expression runs per element."""
+    return F.transform(F.array(value), body)[0]

@@ -28,7 +28,7 @@ def names(t):
     else {case(O.RESOURCE_RULES[2:], "'Other'")} end as category from x)
 select 'variable' as scheme, {case(O.VARIABLE_RULES, "'Other'")} as category, cast(count(*) as bigint) as n from x group by all
 union all select 'resource', category, cast(count(*) as bigint) from r group by all
-union all select 'end_use', category, cast(count(*) as bigint) from (select {case(O.END_USE_RULES)} as category from x) where category is not null group by all""".replace("as n from x group by all\nunion", "as n from x group by 1, 2\nunion"))
+union all select 'end_use', category, cast(count(*) as bigint) from (select {case(O.END_USE_RULES)} as category from x) where category is not null group by all""")
 def _(t):
     n = names(t)
     return O.category_counts(n, "name", False).unionByName(O.category_counts(n, "name", True))
@@ -188,7 +188,7 @@ def plant(t):
     c = c.withColumn("i", F.col("nk") * 2 + F.when(F.col("p") == "Plant", 0).otherwise(1))
     o = o.union(field(c, "BranchList", F.col("i"), F.concat(F.lit("Branch_"), (F.col("c_custkey") + 1).cast("string"), F.lit("_Name")), F.col("c_name")))
     o = o.union(field(c, "Branch", F.col("c_custkey"), F.lit("Name"), F.col("c_name")))
-    # the second order date of 1995 on blanks the branch, so later components are cut off
+    # an order above 495000 has no name, which ends its branch there
     d = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
     comp = lambda part: F.concat(F.lit("Component_"), (F.col("o_orderkey") + 1).cast("string"), F.lit("_" + part))
     k = F.col("o_orderkey").cast("string")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """Counts ``df`` and hints a broadcast only within ``max_rows``; above it Spark shuffles both sides."""
     kept = cut_lineage(df)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
+
+
+def ship_by_value(module: str) -> None:
+    """Python functions of the module travel inside the task, so executors need no installed package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
@@ -86,26 +86,23 @@ def similar_names(left: DataFrame, a: str, right: DataFrame, b: str, cut: float)
 
     ln, rn = cut_up(ln), cut_up(rn)
 
-    def side(longer: DataFrame, shorter: DataFrame, size: int) -> DataFrame:
-        grams = F.explode(f"g{size}").alias("g")
-        other = shorter.select(F.col("n").alias("short"), grams)
+    def side(longer: DataFrame, shorter: DataFrame, size: int, strict: bool) -> DataFrame:
+        gs = F.col(f"g{size}")
+        other = shorter.select(F.col("n").alias("short"), gs.alias("grams"), F.explode(gs).alias("g"))
         seen = other.groupBy("g").agg(F.count("*").alias("f"))
         pick = F.col("strong") if size == 2 else ~F.col("strong")
-        rare = Window.partitionBy("n").orderBy("f", "g")
-        keep = F.when(F.col("k") > size * F.col("d"), size * F.col("d") + 1).otherwise(F.col("k"))
-        mine = (
-            longer.filter(pick)
-            .select("n", "d", F.size(f"g{size}").alias("k"), grams)
-            .join(seen, "g", "left")
-            .fillna({"f": 0})
-            .withColumn("r", F.row_number().over(rare))
-            .filter(F.col("r") <= keep)
-            .select(F.col("n").alias("long"), "g")
-        )
-        fits = (F.length("long") >= F.length("short")) & (F.length("short") >= cut * F.length("long") - 1e-9)
-        return mine.join(other, "g").filter(fits).select("long", "short")
-
-    one = side(ln, rn, 2).union(side(ln, rn, 1)).select(F.col("long").alias("left_name"), F.col("short").alias("right_name"))
-    two = side(rn, ln, 2).union(side(rn, ln, 1)).select(F.col("short").alias("left_name"), F.col("long").alias("right_name"))
-    ratio = 1.0 - F.levenshtein("left_name", "right_name") / F.greatest(F.length("left_name"), F.length("right_name"))
-    return one.union(two).distinct().withColumn("similarity", ratio).filter(F.col("similarity") >= cut)
+        mine = longer.filter(pick).select("n", "d", F.explode(gs).alias("g")).join(seen, "g", "left").fillna({"f": 0})
+        mine = mine.groupBy("n", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("all"))
+        keep = F.when(F.size("all") > size * F.col("d"), size * F.col("d") + 1).otherwise(F.size("all")).cast("int")
+        mine = mine.select(F.col("n").alias("long"), F.slice("all", F.lit(1), keep).alias("prefix"))
+        mine = mine.select("long", "prefix", F.posexplode("prefix").alias("at", "g"))
+        a, b = F.length("long"), F.length("short")
+        fits = ((a > b) if strict else (a >= b)) & (b >= cut * a - 1e-9)
+        # a pair that shares several keys is taken at the first of them only
+        first = ~F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("at")), F.col("grams"))
+        ratio = 1.0 - F.levenshtein("long", "short") / a
+        return mine.join(other, "g").filter(fits).filter(first).select("long", "short", ratio.alias("similarity")).filter(F.col("similarity") >= cut)
+
+    one = side(ln, rn, 2, False).union(side(ln, rn, 1, False)).toDF("left_name", "right_name", "similarity")
+    two = side(rn, ln, 2, True).union(side(rn, ln, 1, True)).toDF("right_name", "left_name", "similarity")
+    return one.unionByName(two)

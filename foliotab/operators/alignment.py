@@ -9,6 +9,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,23 +30,28 @@ TOKENS = "array<struct<text: string, type: string, start: int, end: int, after_n
 
 
 def tokens(text: Column) -> Column:
-    """Tokens with character offsets. Regex offsets have no column form, so this one runs in Arrow batches."""
-    return F.pandas_udf(_token_column, TOKENS)(text)
-
-
-def _token_column(text: pd.Series) -> pd.Series:
-    return text.map(_tokens, na_action="ignore")
-
-
-def _tokens(text: str) -> list:
-    out, end = [], 0
-    for m in _TOKEN.finditer(text):
-        gap = text[end : m.start()]
-        out.append(
-            {"text": m.group(), "type": m.lastgroup, "start": m.start(), "end": m.end(), "after_newline": bool(out) and ("\n" in gap or "\r" in gap)}
-        )
-        end = m.end()
-    return out
+    """Tokens with character offsets. Regex offsets have no column form, so this one runs on Arrow batches."""
+    return F.arrow_udf(_token_arrays, TOKENS)(text)
+
+
+def _token_arrays(texts: pa.Array) -> pa.Array:
+    """One flat array per token attribute and the list offsets of each text."""
+    words, kinds, starts, ends, fresh, offsets, missing = [], [], [], [], [], [0], []
+    for text in texts.to_pylist():
+        missing.append(text is None)
+        end, first = 0, True
+        for m in _TOKEN.finditer(text or ""):
+            a, b = m.span()
+            fresh.append(not first and a > end and ("\n" in text[end:a] or "\r" in text[end:a]))
+            words.append(m.group())
+            kinds.append(m.lastgroup)
+            starts.append(a)
+            ends.append(b)
+            end, first = b, False
+        offsets.append(len(words))
+    cols = [pa.array(words, pa.string()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(fresh, pa.bool_())]
+    items = pa.StructArray.from_arrays(cols, names=["text", "type", "start", "end", "after_newline"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array(missing, pa.bool_()))
 
 
 def tokenize(docs: DataFrame, text: str = "text", name: str = "tokens") -> DataFrame:
@@ -185,7 +191,8 @@ def align_fuzzy(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", thresho
     need = F.ceil(F.size("__q") * threshold - 1e-9).cast("int")
     likely = (F.size("__q") > 0) & (F.size("__s") >= F.size("__q")) & (shared >= need)
     w = F.pandas_udf(_best_windows, "struct<first: int, size: int, matched: int>")("__s", "__q", need)
-    hit = j.filter(likely).withColumn("__w", w).filter(F.col("__w.first").isNotNull())
+    # the windows are the costly part: spread them by quote, as one document may have most of the quotes
+    hit = j.filter(likely).repartition(key, "quote").withColumn("__w", w).filter(F.col("__w.first").isNotNull())
     hit = hit.withColumns({"__i": F.col("__w.first"), "__n": F.col("__w.size"), "status": F.lit(FUZZY), "ratio": F.round(F.col("__w.matched") / F.size("__q"), 6)})
     return _located(hit, [*quotes.columns, "ratio"])
 

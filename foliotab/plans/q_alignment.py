@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_token
 from ..operators import alignment as A
 from ..operators import vectors as V
+from ..session import spread
 from .registry import query
 
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -20,7 +21,7 @@ toks as (select doc_id, cast(row_number() over (partition by doc_id order by i)
 
 
 def docs(t):
-    return A.tokenize(t.documents.select("doc_id", "text"))
+    return A.tokenize(spread(t.documents.select("doc_id", "text")))
 
 
 @query("c19_tokenize", PIECES + 'select doc_id, idx, md5(token) as token, type, start, "end", after_newline from toks')

@@ -68,3 +68,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
 def ship_by_value(module: str) -> None:
     """Python functions of the module travel inside the task, so executors need no installed package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Repartition a scan that has fewer splits than the cluster has cores, before work that is heavy per row.
+
+    For a plan of scans and projections only: asking it for its splits then runs nothing. A large table has more
+    splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -52,11 +52,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The rows as a table written to the shared folder: columnar, computed once, safe from the loss of executors.
+
+    A column without a type cannot be written to a table; such rows take a reliable checkpoint instead.
+    """
+    spark = df.sparkSession
+    if "void" in df.schema.simpleString():
+        sc = spark.sparkContext
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(shared_dir(spark))
+        return df.checkpoint(eager=True)
+    path = scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:

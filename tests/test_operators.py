@@ -254,3 +254,10 @@ def test_scores(spark):
 def test_run_timestamp(spark):
     df = spark.createDataFrame([("a/run_20240322_123456.jsonl",), ("b_77.json",), ("plain.json",)], "n string")
     assert [r[0] for r in df.select(runs.run_timestamp(F.col("n"))).collect()] == ["20240322_123456", "77", "plain"]
+
+
+def test_suggestions_by_both_ways(spark):
+    cat = spark.createDataFrame([(x,) for x in ("Zone Air Temperature", "Zone Air Humidity", "Site Wind Speed", "ab")], "name string")
+    bad = spark.createDataFrame([("zone air temprature",), ("ac",), ("qqqq",)], "n string")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    assert key(outputs.suggestions(bad, "n", cat, cut=0.5)) == key(outputs.suggestions(bad, "n", cat, cut=0.5, small=0)) != []

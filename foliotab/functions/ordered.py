@@ -198,3 +198,17 @@ def global_position(df: DataFrame, order: Sequence[str], name: str) -> DataFrame
     offsets = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__o"))
     local = F.col("__i").bitwiseAND(F.lit((1 << 33) - 1))
     return rows.join(offsets, "__p").withColumn(name, F.col("__o") + local + 1).drop("__p", "__i", "__o")
+
+
+def count_in_range(probes: DataFrame, points: DataFrame, keys: Sequence[str], at: str, id_: str, reach: int, name: str, width: int) -> DataFrame:
+    """Per probe the number of points of its key in [at - reach, at), without pairing them.
+
+    Two running counts of the points, read at both ends of the range; a hot key is spread over its spans.
+    """
+    end = F.struct(F.col(at).alias("__x"), F.lit(1).alias("__sign"))
+    start = F.struct((F.col(at) - reach).alias("__x"), F.lit(-1).alias("__sign"))
+    ends = probes.select(*keys, id_, F.inline(F.array(end, start))).withColumns({"__k": F.lit(0), "__v": F.lit(0).cast("bigint")})
+    marks = points.select(*keys, F.col(at).alias("__x")).withColumns({"__k": F.lit(1), "__v": F.lit(1).cast("bigint")})
+    both = ends.unionByName(marks, allowMissingColumns=True)
+    seen = running_sum(both, keys, "__x", {"__seen": F.col("__v")}, ["__k"], width).filter("__k = 0")
+    return seen.groupBy(id_).agg(F.sum(F.col("__seen") * F.col("__sign")).alias(name))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RATE = 0.08
+RATE = 0.1
 MIN_CHARS = 24
 BLOCK_CHARS = 4_000_000
 

@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliotab.llm.nodes import bitmap
 from foliotab.session import cut_lineage
 
 HUBS = 64
+KEY_BITS = 1 << 24
 
 
 def groups(links: DataFrame) -> DataFrame:
@@ -48,25 +50,29 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def linked_groups(postings: DataFrame, near: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_groups(postings: Callable[[bytes | None], DataFrame], near: Callable, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (node, root) of all links between nodes that share a key.
 
-    ``postings`` has key, node, prio and further columns that ``near(mine, other)`` compares (a condition that no link
-    fails; ``mine`` and ``other`` name a column of either row). ``verify`` maps distinct pairs (a, b) to the linked ones.
+    ``postings(None)`` gives all rows (key, prio). ``postings(marks)`` gives rows (key, node, prio, ...), at least of the keys
+    whose last bits are set in ``marks``; so keys that one node has are dropped before they are shuffled. ``near(mine,
+    other)`` is a condition that no link fails; ``mine`` and ``other`` name a column of either row. ``verify`` maps distinct
+    pairs (a, b) to the linked ones.
 
     A list of n nodes never makes n * n pairs at once. First each node is compared with its list's hub (the smallest
     ``prio``). Then only lists that still hold nodes of different components are left; in each round their next ``HUBS``
     nodes (eight times as many each round) are compared with the rest of other components, and leave the list. It ends
     when no list joins two components any more, so no link between two components is lost.
     """
-    columns = [c for c in postings.columns if c != "key"]
-    hub = [F.min_by(c, "prio").alias(f"hub_{c}") for c in columns if c != "prio"]
-    lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("prio").alias("hub_prio"), *hub).where("n > 1").drop("n")
-    shared = cut_lineage(postings.join(lists, "key"))
+    lists = postings(None).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("prio").alias("first_prio"))
+    lists = cut_lineage(lists.where("n > 1").drop("n"))
+    marks = bitmap(lists, F.col("key").bitwiseAND(F.lit(KEY_BITS - 1)), KEY_BITS)
+    shared = cut_lineage(postings(marks).join(lists, "key"))
+    columns = [c for c in shared.columns if c not in ("key", "first_prio")]
     mine, other = (lambda c: F.col(c)), (lambda c: F.col(f"hub_{c}"))
-    first = shared.where((F.col("node") != F.col("hub_node")) & near(mine, other))
+    as_hubs = lambda rows, *more: rows.select("key", *[F.col(c).alias(f"hub_{c}") for c in (*columns, *more)])
+    first = shared.join(as_hubs(shared.where("prio = first_prio")), "key").where((F.col("node") != F.col("hub_node")) & near(mine, other))
     links = [cut_lineage(verify(cut_lineage(_pairs(first))))]
-    rest = shared.where("node <> hub_node").select("key", *columns)
+    rest = shared.where("prio <> first_prio").select("key", *columns)
     hubs = HUBS
     while True:
         found = reduce(DataFrame.unionByName, links)
@@ -78,7 +84,7 @@ def linked_groups(postings: DataFrame, near: Callable, verify: Callable[[DataFra
             return roots
         ranked = Window.partitionBy("key").orderBy("prio", "node")
         top = rest.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= hubs)
-        top = cut_lineage(top.select("key", *[F.col(c).alias(f"hub_{c}") for c in [*columns, "comp"]]))
+        top = cut_lineage(as_hubs(top, "comp"))
         both = rest.join(top, "key").where("comp <> hub_comp and (prio, node) > (hub_prio, hub_node)").where(near(mine, other))
         links.append(cut_lineage(verify(cut_lineage(_pairs(both)))))
         last = top.groupBy("key").agg(F.max(F.struct("hub_prio", "hub_node")).alias("last"))

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliotab.llm.links import linked_groups
-from foliotab.llm.nodes import bitmap, slot
+from foliotab.llm.links import KEY_BITS, linked_groups
+from foliotab.llm.nodes import bitmap, marked, slot
 from foliotab.llm.words import mix, shingle_sets
 from foliotab.session import cut_lineage
 
@@ -58,15 +58,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
     found = cut_lineage(rows.mapInArrow(_signatures(size, sketch), "doc_id long, n int, hi long, lo long, sketch binary"))
     real = found.where("n > 0 and doc_id is not null")
     classes = cut_lineage(real.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node")))
-    reps = real.withColumnRenamed("doc_id", "node").join(classes, ["hi", "lo", "n", "node"], "left_semi").select("node", "n", "sketch")
+    # Rows that no copy's bit marks are their class's first; only the few others need a look-up.
+    named = real.withColumnRenamed("doc_id", "node").select("hi", "lo", "n", "node", "sketch", slot(F.col("node")).alias("slot"))
+    copies = real.select("hi", "lo", "n", F.col("doc_id").alias("node")).join(classes, ["hi", "lo", "n", "node"], "left_anti")
+    marks = bitmap(copies, slot(F.col("node")))
+    shape = "hi long, lo long, n int, node long, sketch binary"
+    looked_up = named.mapInArrow(_by_mark(marks, True), shape).join(classes, ["hi", "lo", "n", "node"], "left_semi")
+    looked_up = cut_lineage(looked_up.dropDuplicates(["hi", "lo", "n", "node"]))
+    reps = named.mapInArrow(_by_mark(marks, False), shape).unionByName(looked_up).select("node", "n", "sketch")
 
     weights = np.zeros(WEIGHTS, np.int64)
     for row in reps.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         weights[row["bucket"]] = row["n"]  # at most WEIGHTS rows
-    postings = reps.mapInArrow(_postings(weights, sketch, threshold), "key long, node long, prio long, n int, upto int, signs long")
+
+    def postings(marks: bytes | None) -> DataFrame:
+        if marks is None:
+            return reps.mapInArrow(_postings(weights, sketch, threshold, None), "key long, prio long")
+        return reps.mapInArrow(_postings(weights, sketch, threshold, marks), "key long, node long, prio long, n int, upto int, ratio int, signs long")
 
     def near(mine, other):
-        fits = (mine("n") <= other("upto")) & (other("n") <= mine("upto"))
+        low, high = F.least(mine("n"), other("n")), F.greatest(mine("n"), other("n"))
+        fits = (mine("n") <= other("upto")) & (other("n") <= mine("upto")) & (1000 * low <= F.least(mine("ratio"), other("ratio")) * high)
         return fits & (F.bit_count(mine("signs").bitwiseXOR(other("signs"))) <= 64 - SIGNS)
 
     full: list[DataFrame] = []  # sets of the nodes asked for so far
@@ -84,8 +96,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
         return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_alike(threshold, sketch), "a long, b long").distinct()
 
     roots = linked_groups(postings, near, verify)
-    named = classes.join(roots, "node", "left").select("hi", "lo", "n", F.coalesce("root", "node").alias("component"))
-    least = found.join(named, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    placed = classes.join(roots, "node", "left").select("hi", "lo", "n", F.coalesce("root", "node").alias("component"))
+    least = found.join(placed, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return least.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
@@ -112,12 +124,27 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["bucket", "n"])
 
 
-def _postings(weights: np.ndarray, sketch: int, threshold: float):
-    """The rarest values of each sketch. ``prio`` puts documents first whose values are common: they link most others."""
+def _by_mark(marks: bytes, wanted: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = marked(marks, batch.column(5).to_numpy())
+            yield batch.filter(pa.array(hit == wanted)).select([0, 1, 2, 3, 4])
+
+    return run
+
+
+def _postings(weights: np.ndarray, sketch: int, threshold: float, marks: bytes | None):
+    """The rarest values of each sketch. ``prio`` puts documents first whose values are common: they link most others.
+
+    A value at place i of the order leaves n - i values in common at most. Where the sketch is the full set, that bounds the
+    other set's size (``upto``). Else it bounds how like the sizes can be (``ratio``, in thousandths): sets of sizes in
+    ratio r that are linked have threshold / (1 + threshold) * (1 + r) of the smaller sketch range in common, less chance.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = 4.5 * np.sqrt(sketch * threshold * (1 - threshold))
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], []] if marks is None else [[], [], [], [], [], [], []]
             for node, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 values = np.frombuffer(raw, np.uint64)
                 weight = weights[(values & np.uint64(WEIGHTS - 1)).astype(np.int64)]
@@ -126,24 +153,33 @@ def _postings(weights: np.ndarray, sketch: int, threshold: float):
                 central = int(np.log2(weight + 1.0).mean() * (1 << 14))
                 place = int(mix(np.array([node], np.int64).view(np.uint64))[0] >> np.uint64(24))
                 whole = n <= threshold * sketch
-                # A value at place i of the order leaves n - i in common at most, which bounds the other set's size.
-                upto = np.floor((1 + threshold) / threshold * (n - np.arange(take)) - n + 1e-9) if whole else np.full(take, np.floor(n / threshold + 1e-9))
-                for column, x in zip(out, (values[order].view(np.int64), np.full(take, node), np.full(take, ((1 << 20) - central << 40) | place), np.full(take, n), np.minimum(upto, 2**31 - 1), np.full(take, signs(values)))):
+                prio = ((1 << 20) - central << 40) | place
+                keys, left = values[order].view(np.int64), len(values) - np.arange(take)
+                if marks is None:
+                    columns = (keys, np.full(take, prio))
+                else:
+                    hit = marked(marks, keys & (KEY_BITS - 1))
+                    keys, left = keys[hit], left[hit]
+                    if whole:
+                        upto, ratio = np.floor((1 + threshold) / threshold * left - n + 1e-9), np.full(len(keys), 1000)
+                    else:
+                        upto = np.full(len(keys), np.floor(n / threshold + 1e-9))
+                        ratio = np.clip(np.ceil(1000 * ((left + chance) / (threshold / (1 + threshold) * len(values)) - 1)), 0, 1000)
+                    columns = (keys, np.full(len(keys), node), np.full(len(keys), prio), np.full(len(keys), n), np.minimum(upto, 2**31 - 1), ratio, np.full(len(keys), signs(values)))
+                for column, x in zip(out, columns):
                     column.append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
             if out[0]:
-                arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, types)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node", "prio", "n", "upto", "signs"])
+                kinds = {"key": pa.int64(), "prio": pa.int64()} if marks is None else {"key": pa.int64(), "node": pa.int64(), "prio": pa.int64(), "n": pa.int32(), "upto": pa.int32(), "ratio": pa.int32(), "signs": pa.int64()}
+                arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds.values())]
+                yield pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
     return run
 
 
 def _sets(size: int, marks: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(marks, np.uint8)
         for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            batch = batch.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0))
+            batch = batch.filter(pa.array(marked(marks, batch.column(2).to_numpy())))
             if len(batch):
                 values = [v.tobytes() for v in shingle_sets(batch.column(1), size)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["node", "values"])

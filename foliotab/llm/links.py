@@ -59,9 +59,11 @@ def linked_groups(postings: Callable[[bytes | None], DataFrame], near: Callable,
     pairs (a, b) to the linked ones.
 
     A list of n nodes never makes n * n pairs at once. First each node is compared with its list's hub (the smallest
-    ``prio``). Then only lists that still hold nodes of different components are left; in each round their next ``HUBS``
-    nodes (eight times as many each round) are compared with the rest of other components, and leave the list. It ends
-    when no list joins two components any more, so no link between two components is lost.
+    ``prio``). Nodes near a common hub, directly or over others, are a family. A family's nodes share many lists, so each
+    family becomes one list of its own, and the lists it came from only serve pairs of different families. Then only
+    lists that still hold nodes of different components are left; in each round their next ``HUBS`` nodes (eight times as
+    many each round) are compared with the rest of other components, and leave the list. It ends when no list joins two
+    components any more, so no link between two components is lost.
     """
     lists = postings(None).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("prio").alias("first_prio"))
     lists = cut_lineage(lists.where("n > 1").drop("n"))
@@ -71,8 +73,15 @@ def linked_groups(postings: Callable[[bytes | None], DataFrame], near: Callable,
     mine, other = (lambda c: F.col(c)), (lambda c: F.col(f"hub_{c}"))
     as_hubs = lambda rows, *more: rows.select("key", *[F.col(c).alias(f"hub_{c}") for c in (*columns, *more)])
     first = shared.join(as_hubs(shared.where("prio = first_prio")), "key").where((F.col("node") != F.col("hub_node")) & near(mine, other))
-    links = [cut_lineage(verify(cut_lineage(_pairs(first))))]
-    rest = shared.where("prio <> first_prio").select("key", *columns)
+    first = cut_lineage(_pairs(first))
+    links = [cut_lineage(verify(first))]
+    families = groups(first).withColumnRenamed("root", "fam")
+    own = shared.groupBy("node").agg(*[F.max(c).alias(c) for c in columns if c != "node"])
+    own = own.join(families, "node").select(F.xxhash64(F.lit("family"), "fam").alias("key"), *columns, F.col("node").alias("fam"))
+    rest = shared.where("prio <> first_prio").join(families, "node", "left").select("key", *columns, F.coalesce("fam", "node").alias("fam"))
+    apart = rest.groupBy("key").agg(F.min("fam").alias("lo"), F.max("fam").alias("hi")).where("lo < hi").select("key")
+    rest = cut_lineage(rest.join(apart, "key", "left_semi").unionByName(own))
+    columns = [*columns, "fam"]
     hubs = HUBS
     while True:
         found = reduce(DataFrame.unionByName, links)
@@ -85,7 +94,7 @@ def linked_groups(postings: Callable[[bytes | None], DataFrame], near: Callable,
         ranked = Window.partitionBy("key").orderBy("prio", "node")
         top = rest.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= hubs)
         top = cut_lineage(as_hubs(top, "comp"))
-        both = rest.join(top, "key").where("comp <> hub_comp and (prio, node) > (hub_prio, hub_node)").where(near(mine, other))
+        both = rest.join(top, "key").where("comp <> hub_comp and fam <> hub_fam and (prio, node) > (hub_prio, hub_node)").where(near(mine, other))
         links.append(cut_lineage(verify(cut_lineage(_pairs(both)))))
         last = top.groupBy("key").agg(F.max(F.struct("hub_prio", "hub_node")).alias("last"))
         rest = rest.join(last, "key").where(F.struct("prio", "node") > F.struct("last.hub_prio", "last.hub_node")).drop("last")

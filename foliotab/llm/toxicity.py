@@ -134,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
 
     ``labels`` has ids and labels 0 or 1; other labels, null ids and null texts teach nothing. Features are the words and
     word beginnings that tell the classes of these examples apart, ``FEATURES`` of the clearest at most. Everything that
-    reaches the driver is bounded by these parameters.
+    reaches the driver is bounded by these parameters. Examples of one class alone teach nothing: all texts then score 0.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
     turn = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
@@ -148,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     sizes = {r["label"]: r["n"] for r in taught.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
-        return Index({}, [(r["id"], r["label"], 1.0, {}) for r in taught.select("id", "label").collect()])
+        return Index({}, [])
     per = counts.groupBy("feature").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("df")).withColumn("q", F.col("df") - F.col("p"))
     share = F.col("df") / (pos + neg)
     gap = (F.col("p") / pos - F.col("q") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-9)

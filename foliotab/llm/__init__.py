@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliotab.llm import ann, bpe, decontaminate, langid, linedup, links, neardup, nodes, packing, secrets, sharding, token_counts, toxicity, words
+from foliotab.llm import ann, bpe, decontaminate, langid, linedup, links, neardup, nodes, packing, secrets, sharding, token_counts, toxicity, worker, words
 from foliotab.session import ship_by_value
 
-for _module in (ann, bpe, decontaminate, langid, linedup, links, neardup, nodes, packing, secrets, sharding, token_counts, toxicity, words):
+for _module in (ann, bpe, decontaminate, langid, linedup, links, neardup, nodes, packing, secrets, sharding, token_counts, toxicity, worker, words):
     ship_by_value(_module.__name__)

@@ -89,7 +89,7 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
     """Means of ``n`` clusters of the sample; clusters that run empty or large are re-seeded from the largest ones."""
     rng = np.random.default_rng(11)
     points = sample[rng.choice(len(sample), n, replace=False)].astype(np.float64)
-    for _ in range(rounds):
+    for turn in range(rounds):
         owner = np.concatenate([((points**2).sum(1) - 2 * part @ points.T).argmin(1) for part in np.array_split(sample, max(1, len(sample) // 1024))])
         counts = np.bincount(owner, minlength=n)
         sums = np.zeros_like(points)
@@ -97,14 +97,15 @@ def fit_centroids(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
         points = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], points)
         poor, rich = np.flatnonzero(counts < len(sample) / n / 4), np.argsort(-counts)
         for i, j in zip(poor, rich[: len(poor)]):
-            if counts[j] > 2 * len(sample) / n:
+            if turn < rounds - 2 and counts[j] > 2 * len(sample) / n:
                 points[i] = sample[rng.choice(np.flatnonzero(owner == j))]
     return points
 
 
-def fit_ratio(centroids: Centroids, sample: np.ndarray, top: float, k: int, target: float) -> tuple[float, int]:
-    """Distance ratio within which lists hold ``target`` of the true neighbours of ``TRIALS`` sample rows, and the most
-    lists that any of these rows reads within it. Neighbours in a sample are farther than in the whole, so the share is
+def fit_ratio(centroids: Centroids, sample: np.ndarray, top: float, k: int, target: float) -> tuple[float, float, int]:
+    """Distance ratio within which lists hold ``target`` of the true neighbours of ``TRIALS`` sample rows, the usual distance
+    to the nearest centroid, and the most lists that any of these rows reads. The ratio is taken to the nearest centroid's
+    distance, or the usual one if that is larger. Neighbours in a sample are farther than in the whole, so the share is
     no lower there.
     """
     tried = sample[:TRIALS]
@@ -115,10 +116,11 @@ def fit_ratio(centroids: Centroids, sample: np.ndarray, top: float, k: int, targ
     held = np.sqrt(dist) <= COPY_RATIO * np.sqrt(dist[:, :1]) + 1e-9
     asked = np.concatenate([tried, np.zeros((len(tried), 1))], 1).astype(np.float32)
     away = np.sqrt(centroids.distances(asked, np.broadcast_to(np.arange(len(centroids.points)), (len(tried), len(centroids.points)))))
-    ratio = away / np.maximum(away.min(1, keepdims=True), 1e-12)
+    usual = float(np.median(away.min(1)))
+    ratio = away / np.maximum(np.maximum(away.min(1, keepdims=True), usual), 1e-12)
     least = np.where(held[near], ratio[np.arange(len(tried))[:, None, None], ids[near]], np.inf).min(2)
     limit = float(np.quantile(least, target, method="higher")) if least.size else 1.0
-    return limit, int((ratio <= limit).sum(1).max(initial=1))
+    return limit, usual, int((ratio <= limit).sum(1).max(initial=1))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", list_rows: int = LIST_ROWS, sample_rows: int = SAMPLE_ROWS, target: float = TARGET) -> DataFrame:
@@ -148,17 +150,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     n_lists = int(min(MOST_LISTS, max(1, size["n"] // list_rows), max(1, min(size["n"], sample_rows) // 4)))
     sample = np.array([r["v"] for r in entries.orderBy("h", "v").limit(sample_rows).select("v").collect()])
     centroids = Centroids(fit_centroids(_lifted(sample, size["top"]), n_lists))
-    ratio, probes = fit_ratio(centroids, sample, size["top"], k, target)
+    ratio, usual, probes = fit_ratio(centroids, sample, size["top"], k, target)
 
     lists = entries.mapInArrow(_dealt(centroids, size["top"], COPIES, COPY_RATIO), "list int, h long, v array<double>, ids array<long>")
-    probed = asked.select("h", "v").distinct().mapInArrow(_probed(centroids, probes, ratio), "list int, h long, v array<double>")
-    lists, probed = cut_lineage(lists), cut_lineage(probed)
+    lists = cut_lineage(lists)
+    sizes = np.zeros(n_lists, np.int64)
+    for row in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[row["list"]] = row["n"]  # n_lists rows at most
+    probed = asked.select("h", "v").distinct().mapInArrow(_probed(centroids, probes, ratio, usual, sizes, COPIES * (k + 1)), "list int, h long, v array<double>")
+    probed = cut_lineage(probed)
     pages = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).cast("int").alias("pages"))
     blocks = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).cast("int").alias("blocks"))
     parts = F.broadcast(pages.join(blocks, "list"))  # a row for each list, of which there are MOST_LISTS at most
     # A page meets every block of its list: each side names its own part and is repeated for the other's.
-    left = lists.join(parts, "list").withColumn("page", F.pmod("h", "pages")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = probed.join(parts, "list").withColumn("block", F.pmod("h", "blocks")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
+    left = lists.join(parts, "list").withColumn("page", F.pmod("h", "pages").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = probed.join(parts, "list").withColumn("block", F.pmod("h", "blocks").cast("int")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     keys = ["list", "page", "block"]
     near = left.select(*keys, "v", "ids").groupBy(*keys).cogroup(right.select(*keys, "h", "v").groupBy(*keys))
     found = near.applyInPandas(_scored(k + 1), "h long, v array<double>, vec_id long, score double, ids array<long>")
@@ -190,7 +196,9 @@ def _dealt(centroids: Centroids, top: float, copies: int, ratio: float):
     return run
 
 
-def _probed(centroids: Centroids, probes: int, ratio: float):
+def _probed(centroids: Centroids, probes: int, ratio: float, usual: float, sizes: np.ndarray, least: int):
+    """The lists within the ratio, and in any case the nearest ones until they hold ``least`` entries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
@@ -198,23 +206,33 @@ def _probed(centroids: Centroids, probes: int, ratio: float):
                 v = _matrix(part.column(1))
                 lifted = np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32)
                 ids, dist = centroids.search(lifted, probes + probes // 4, max(BEAM, probes + probes // 4))
-                row, place = np.nonzero(np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-9)
+                before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
+                reach = np.sqrt(dist) <= ratio * np.maximum(np.sqrt(dist[:, :1]), usual) + 1e-9
+                row, place = np.nonzero((reach | (before < least)) & np.isfinite(dist))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row, place], pa.int32()), *part.take(pa.array(row)).columns], names=["list", "h", "v"])
 
     return run
 
 
 def _scored(k: int):
+    """The ``k`` best entries of a page for each query of a block."""
+
     def run(page: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = {"h": [], "v": [], "vec_id": [], "score": [], "ids": []}
         if len(page) and len(queries):
-            vectors, first = np.stack(page["v"].to_numpy()), np.array([i[0] for i in page["ids"]])
+            vectors, members = np.stack(page["v"].to_numpy()), page["ids"].to_numpy()
+            first = np.array([i[0] for i in members])
             for at in range(0, len(queries), 256):
                 part = queries.iloc[at : at + 256]
                 scores = np.einsum("qd,vd->qv", np.stack(part["v"].to_numpy()), vectors)
                 order = np.lexsort((np.broadcast_to(first, scores.shape), -scores), axis=1)[:, :k]
-                for h, v, s, o in zip(part["h"], part["v"], scores, order):
-                    out.append(pd.DataFrame({"h": h, "v": [v] * len(o), "vec_id": first[o], "score": s[o], "ids": page["ids"].to_numpy()[o]}))
-        return pd.concat(out) if out else pd.DataFrame({"h": [], "v": [], "vec_id": [], "score": [], "ids": []})
+                flat = order.ravel()
+                out["h"].extend(np.repeat(part["h"].to_numpy(), order.shape[1]))
+                out["v"].extend(v for v in part["v"] for _ in range(order.shape[1]))
+                out["vec_id"].extend(first[flat])
+                out["score"].extend(np.take_along_axis(scores, order, 1).ravel())
+                out["ids"].extend(members[flat])
+        kinds = {"h": "int64", "v": object, "vec_id": "int64", "score": "float64", "ids": object}
+        return pd.DataFrame({c: pd.Series(x, dtype=kinds[c]) for c, x in out.items()})
 
     return run

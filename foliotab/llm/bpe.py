@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import json
 import os
-import sys
-import types
 
 import regex
 
+from foliotab.llm.worker import kept
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Code points (first, last) whose class differs between the two Unicode tables.
@@ -32,16 +32,6 @@ FIRST_UNLIKE = chr(UNLIKE[0][0])
 MEMO_ENTRIES = 500_000
 
 
-def kept(key: tuple, make):
-    """What ``make`` gave for the key before in this process. Kept apart from this module, whose functions travel by value
-    and are made anew in each task.
-    """
-    store = sys.modules.setdefault("foliotab_kept_by_worker", types.ModuleType("foliotab_kept_by_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
-
-
 class Irregular(Exception):
     """A chunk that cannot be taken by itself."""
 

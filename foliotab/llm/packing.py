@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 
 from foliotab.llm import bpe
 from foliotab.llm.token_counts import default_vocabulary
+from foliotab.llm.worker import kept
 
 TIERS = (1024, 512, 256, 128, 64)
 BLOCK_TOKENS = 4_000_000
@@ -96,7 +97,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = bpe.Vocabulary.of(path)
-        memo = bpe.kept(("ids", path), lambda: bpe.Memo(own, {t: i.to_bytes(4, "little") for t, i in whole.items()}, lambda piece: little(own.merge(piece.encode())), b"".join))
+        memo = kept(("ids", path), lambda: bpe.Memo(own, {t: i.to_bytes(4, "little") for t, i in whole.items()}, lambda piece: little(own.merge(piece.encode())), b"".join))
         library = lambda part: little(own.library.encode(part, add_special_tokens=False).ids)
         end = end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << 33

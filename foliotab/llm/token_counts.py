@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliotab.llm import bpe
+from foliotab.llm.worker import kept
 
 
 def default_vocabulary() -> str:
@@ -30,7 +31,7 @@ def token_count(text: Column, vocabulary: str | None = None) -> Column:
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = bpe.Vocabulary.of(path)
-        memo = bpe.kept(("counts", path), lambda: bpe.Memo(own, dict.fromkeys(whole, 1), lambda piece: len(own.merge(piece.encode())), sum))
+        memo = kept(("counts", path), lambda: bpe.Memo(own, dict.fromkeys(whole, 1), lambda piece: len(own.merge(piece.encode())), sum))
         library = lambda part: len(own.library.encode(part, add_special_tokens=False).ids)
         for texts in batches:
             yield pa.array([memo.encode(t.as_py() or "", lambda _: 1, library) for t in texts], pa.int64())

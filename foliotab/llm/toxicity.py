@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
+import copy
+import hashlib
 import math
+import pickle
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliotab.llm.worker import kept
 from foliotab.session import cut_lineage
 
 EXAMPLES = 3_000
 FEATURES = 4_096
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
 STEMS = (4, 5, 6)
-#: A feature has this many examples of its class at least and this many standard errors between the classes.
-LEAST, APART = 3, 4.0
+#: A feature has this many examples of label 1 at least, is this many standard errors more frequent among them than among
+#: the others, and this many times as frequent.
+LEAST, APART, TIMES = 3, 4.0, 2.0
 
-words = regex.compile(r"\p{L}[\p{L}\p{M}]+").findall
+words = re.compile(r"[^\W\d_]{2,}").findall
 
 
 def features(text: str) -> list[str]:
@@ -67,13 +73,13 @@ class Index:
 
     def counts(self, text: str) -> dict[str, int]:
         """Counts of the chosen features of a text."""
+        starts, first = self.starts, STEMS[0]
         found: Counter = Counter()
-        for w in words(text.lower()):
-            if w[: STEMS[0]] in self.starts:
-                found[w] += 1
-                for n in STEMS:
-                    if len(w) > n:
-                        found[w[:n] + "*"] += 1
+        for w in [w for w in words(text.lower()) if w[:first] in starts]:
+            found[w] += 1
+            for n in STEMS:
+                if len(w) > n:
+                    found[w[:n] + "*"] += 1
         return {f: n for f, n in found.items() if f in self.idf}
 
     def nearest(self, query: dict[str, float], k: int, leave_out: int = -1) -> list[tuple[float, int]]:
@@ -121,6 +127,12 @@ class Index:
             theta = theta - np.linalg.solve(np.array([[h @ (x * x) + 1e-3, h @ x], [h @ x, h.sum() + 1e-3]]), grad)
         self.slope, self.shift = theta
 
+    def without_vectors(self) -> Index:
+        """A copy for scoring; the examples' own vectors only serve to calibrate."""
+        out = copy.copy(self)
+        out.vectors = []
+        return out
+
     def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
         query = self.vector(self.counts(text))
         near = self.nearest(query, NEIGHBOURS) if query else []
@@ -133,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     """Index of at most ``examples`` labelled documents of each class (those of smallest id hash), equal texts once.
 
     ``labels`` has ids and labels 0 or 1; other labels, null ids and null texts teach nothing. Features are the words and
-    word beginnings that tell the classes of these examples apart, ``FEATURES`` of the clearest at most. Everything that
+    word beginnings that mark label 1 among these examples, ``FEATURES`` of the clearest at most. Everything that
     reaches the driver is bounded by these parameters. Examples of one class alone teach nothing: all texts then score 0.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").groupBy("id").agg(F.max("label").alias("label"))
@@ -152,7 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: st
     per = counts.groupBy("feature").agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("df")).withColumn("q", F.col("df") - F.col("p"))
     share = F.col("df") / (pos + neg)
     gap = (F.col("p") / pos - F.col("q") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-9)
-    clear = per.where((F.greatest("p", "q") >= LEAST)).withColumn("gap", F.abs(gap)).where(F.col("gap") >= APART)
+    often = F.col("p") / pos >= TIMES * F.col("q") / neg
+    clear = per.where((F.col("p") >= LEAST) & often).withColumn("gap", gap).where(F.col("gap") >= APART)
     top = clear.orderBy(F.desc("gap"), "feature").limit(FEATURES).select("feature", "df").collect()
     idf = {r["feature"]: math.log((1 + pos + neg) / (1 + r["df"])) + 0.1 for r in top}
     rows = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(f,) for f in idf], "feature string")), "feature").select("id", "feature", "n").collect() if idf else []
@@ -175,11 +188,15 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def toxicity(text: Column, index: Index) -> Column:
     """struct(score, evidence): calibrated score of each whole text (null: empty), and its nearest examples, nearest first.
 
-    A text without any feature of the index scores the examples' share of label 1 among such texts.
+    A text without any feature of the index scores the examples' share of label 1 among such texts. The index travels as
+    bytes that a worker opens once, not once a task.
     """
+    packed = cloudpickle.dumps(index.without_vectors())
+    digest = hashlib.blake2b(packed).hexdigest()
 
     @F.arrow_udf("score double, evidence array<struct<example:bigint,cosine:double,label:int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = kept(("toxicity", digest), lambda: pickle.loads(packed))
         for texts in batches:
             scores, evidence = [], []
             for t in texts:

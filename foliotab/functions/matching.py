@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import cut_lineage
 from .text import bound
 
 
@@ -30,10 +30,10 @@ def _word_grams(words: Column) -> Column:
 
 
 def _rarest(parts: DataFrame) -> DataFrame:
-    """Per needle the key that fewest needles have."""
+    """Per needle id the key that fewest needles have."""
     common = parts.groupBy("__g").agg(F.count("*").alias("__f"))
-    best = parts.join(common, "__g").groupBy("__n").agg(F.min(F.struct("__f", "__g")).alias("__a"))
-    return best.select("__n", F.col("__a.__g").alias("__g"))
+    best = parts.join(common, "__g").groupBy("__nid").agg(F.min(F.struct("__f", "__g")).alias("__a"))
+    return best.select("__nid", F.col("__a.__g").alias("__g"))
 
 
 def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, size: int = 6) -> DataFrame:
@@ -43,29 +43,33 @@ def contains_join(needles: DataFrame, needle: str, hay: DataFrame, text: str, si
     needle of five words or more is filed under one triple of those, the one fewest needles share, and texts look
     up their own triples. Shorter needles are filed under a character gram the same way. The substring test then
     decides. A needle has one key and a text's keys are distinct, so each pair is met once.
+
+    Keys travel with 128-bit digests; texts are fetched for candidate pairs only, and rows join on the digests.
     """
-    distinct = needles.select(F.col(needle).alias("__n")).filter(F.length("__n") > 0).distinct()
-    texts = hay.select(F.col(text).alias("__t")).distinct()
+    needles, hay = needles.withColumn("__nid", F.md5(F.col(needle))), hay.withColumn("__tid", F.md5(F.col(text)))
+    distinct = needles.filter(F.length(needle) > 0).select("__nid", F.col(needle).alias("__n")).dropDuplicates(["__nid"])
+    texts = cut_lineage(hay.select("__tid", F.col(text).alias("__t")).dropDuplicates(["__tid"]))
     words = F.split(F.col("__n"), r"\s+")
     inner = F.slice(words, F.lit(2), F.size(words) - 2)
     long_ = F.size(words) >= 5
 
-    by_words = broadcast_if_small(_rarest(distinct.filter(long_).select("__n", F.explode(_word_grams(inner)).alias("__g"))))
+    by_words = _rarest(distinct.filter(long_).select("__nid", F.explode(_word_grams(inner)).alias("__g")))
     of_text = F.split(F.col("__t"), r"\s+")
-    probes = texts.filter(F.size(of_text) >= 3).select("__t", F.explode(_word_grams(of_text)).alias("__g"))
-    pairs = probes.join(by_words, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t")
+    probes = texts.filter(F.size(of_text) >= 3).select("__tid", F.explode(_word_grams(of_text)).alias("__g"))
+    met = probes.join(by_words, "__g").select("__nid", "__tid")
 
-    by_chars = broadcast_if_small(_rarest(distinct.filter(~long_).select("__n", F.explode(_grams(F.col("__n"), size)).alias("__g"))))
+    by_chars = cut_lineage(_rarest(distinct.filter(~long_).select("__nid", F.explode(_grams(F.col("__n"), size)).alias("__g"))))
     if not by_chars.isEmpty():
         sizes = by_chars.agg(F.collect_set(F.length("__g")).alias("__sizes"))  # one row, at most `size` lengths
         probes = (
             texts.join(F.broadcast(sizes))
-            .select("__t", F.explode("__sizes").alias("__k"))
+            .select("__tid", "__t", F.explode("__sizes").alias("__k"))
             .filter(F.length("__t") >= F.col("__k"))
-            .select("__t", F.explode(_grams(F.col("__t"), F.col("__k"))).alias("__g"))
+            .select("__tid", F.explode(_grams(F.col("__t"), F.col("__k"))).alias("__g"))
         )
-        pairs = pairs.union(probes.join(by_chars, "__g").filter(F.col("__t").contains(F.col("__n"))).select("__n", "__t"))
-    return needles.join(pairs, F.col(needle) == F.col("__n")).join(hay, F.col(text) == F.col("__t")).drop("__n", "__t")
+        met = met.union(probes.join(by_chars, "__g").select("__nid", "__tid"))
+    pairs = met.join(distinct, "__nid").join(texts, "__tid").filter(F.col("__t").contains(F.col("__n"))).select("__nid", "__tid")
+    return needles.join(pairs, "__nid").join(hay, "__tid").drop("__nid", "__tid")
 
 
 def similar_names(left: DataFrame, a: str, right: DataFrame, b: str, cut: float) -> DataFrame:

@@ -41,9 +41,15 @@ def norm_key(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(col), "[^a-z0-9]+", " "))
 
 
-def significant_digits(col: Column) -> Column:
-    """Number of significant digits of a number written as text."""
-    digits = F.regexp_replace(F.regexp_replace(col.cast("string"), "[^0-9]", ""), "^0+", "")
+def significant_digits(col: Column, kind: T.DataType | None = None) -> Column:
+    """Number of significant digits of a number written as text, or of a number of type ``kind``.
+
+    The digits of an exponent never count. A DOUBLE or FLOAT is written with ``.0`` where it is whole; that does not count.
+    """
+    plain = F.regexp_replace(col.cast("string"), "[eE][+-]?[0-9]+$", "")
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        plain = F.regexp_replace(plain, r"\.0$", "")
+    digits = F.regexp_replace(F.regexp_replace(plain, "[^0-9]", ""), "^0+", "")
     return F.length(digits).cast("int")
 
 

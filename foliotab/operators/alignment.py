@@ -30,8 +30,11 @@ TOKENS = "array<struct<text: string, type: string, start: int, end: int, after_n
 
 
 def tokens(text: Column) -> Column:
-    """Tokens with character offsets. Regex offsets have no column form, so this one runs on Arrow batches."""
-    return F.arrow_udf(_token_arrays, TOKENS)(text)
+    """Tokens with character offsets. Regex offsets have no column form, so this one runs on Arrow batches.
+
+    Spark is not told that the function is deterministic: else a filter on the tokens runs it once more, below the filter.
+    """
+    return F.arrow_udf(_token_arrays, TOKENS).asNondeterministic()(text)
 
 
 def _token_arrays(texts: pa.Array) -> pa.Array:
@@ -42,7 +45,7 @@ def _token_arrays(texts: pa.Array) -> pa.Array:
         end, first = 0, True
         for m in _TOKEN.finditer(text or ""):
             a, b = m.span()
-            fresh.append(not first and a > end and ("\n" in text[end:a] or "\r" in text[end:a]))
+            fresh.append(not first and a > end and "\n" in text[end:a])
             words.append(m.group())
             kinds.append(m.lastgroup)
             starts.append(a)

@@ -261,7 +261,7 @@ def apply_updates(objects_: DataFrame, specs: DataFrame, rules: UpdateRules, str
     fold = (lambda c: c) if strict else F.lower
     view = objects_of(objects_, [rules.obj_type], [rules.name_field, rules.zone_field])
     view = view.select(*OBJ, F.col(rules.name_field).alias("object_name"), fold(F.col(rules.name_field)).alias("__n"), fold(F.col(rules.zone_field)).alias("__z"))
-    rest = fold(F.trim(F.substring("target", 6, 100000)))
+    rest = fold(F.trim(F.substring("target", F.lit(6), F.length("target"))))
     # fields are whitelisted, so one row holds all requests on every object
     every = good.filter("target = 'all'").groupBy("field_name").agg(F.array_sort(F.collect_list(F.struct("seq", "new_value"))).alias("u"))
     every = every.agg(F.collect_list(F.struct("field_name", "u")).alias("all"))

@@ -108,23 +108,15 @@ def validate_requests(requests: DataFrame, catalog: DataFrame, level: str = "mod
     return out.withColumn("verdict", F.when(F.col("error").isNull(), "valid").otherwise("invalid")).drop("__known")
 
 
-def suggestions(names: DataFrame, col: str, catalog: DataFrame, cut: float = 0.6, k: int = 5, small: int = 5_000) -> DataFrame:
+def suggestions(names: DataFrame, col: str, catalog: DataFrame, cut: float = 0.6, k: int = 5) -> DataFrame:
     """Up to k catalog names per distinct name, by edit ratio.
 
-    A catalog of at most ``small`` names (counted first) goes to every task as one array; a larger one is joined
-    on shared grams. Both are exact.
+    Names meet on shared grams, whatever the size of the catalog; the result is exact.
     """
     cat = cut_lineage(catalog.select(F.lower("name").alias("name")).filter("name <> ''").distinct())
-    if cat.count() > small:
-        near = similar_names(names, col, cat, "name", cut)
-        top = ordered.top_per_group(near, ["left_name"], [F.round("similarity", 9).desc(), F.col("right_name")], k)
-        return top.select(F.col("left_name").alias("name"), F.col("right_name").alias("suggestion"), F.round("similarity", 6).alias("similarity"), "rank")
-    every = cat.agg(F.collect_list("name").alias("__c"))
-    n = names.select(F.lower(col).alias("name")).filter("name <> ''").distinct().repartition(names.sparkSession.sparkContext.defaultParallelism)
-    rated = F.transform("__c", lambda x: F.struct((-F.round(edit_ratio(F.col("name"), x), 9)).alias("s"), x.alias("suggestion")))
-    best = F.slice(F.array_sort(F.filter(rated, lambda x: x["s"] <= -cut)), 1, k)
-    out = n.join(F.broadcast(every)).select("name", F.posexplode(best).alias("i", "b"))
-    return out.select("name", "b.suggestion", F.round(-F.col("b.s"), 6).alias("similarity"), (F.col("i") + 1).alias("rank"))
+    near = similar_names(names, col, cat, "name", cut)
+    top = ordered.top_per_group(near, ["left_name"], [F.round("similarity", 9).desc(), F.col("right_name")], k)
+    return top.select(F.col("left_name").alias("name"), F.col("right_name").alias("suggestion"), F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @dataclass(frozen=True)

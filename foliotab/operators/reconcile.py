@@ -35,7 +35,7 @@ def dedupe_best(df: DataFrame, keys: Sequence[str], value: str, explicit: str |
     """Best row per key: precision of ``value``, then stated over inferred, then completeness, then first."""
     rest = [c for c in df.columns if c not in (*keys, row_id)]
     score = F.struct(
-        significant_digits(F.col(value)).alias("precision"),
+        significant_digits(F.col(value), df.schema[value].dataType).alias("precision"),
         F.coalesce(F.col(explicit), F.lit(False)).alias("explicit") if explicit else F.lit(False).alias("explicit"),
         filled_count(df, rest).alias("filled"),
         (-F.col(row_id)).alias("first"),
@@ -61,7 +61,7 @@ def dedupe_numeric(
     jump = F.when(F.col("__prev").isNull() | (F.col(value) - F.col("__prev") > tol), 1).otherwise(0)
     d = ordered.running_sum(d.withColumn("__jump", jump).drop("__prev"), keys, value, {"__run": F.col("__jump")}, [row_id], width)
     score = F.struct(
-        significant_digits(F.col(value)).alias("digits"),
+        significant_digits(F.col(value), df.schema[value].dataType).alias("digits"),
         (quoted if quoted is not None else F.lit(False)).alias("quoted"),
         (literal if literal is not None else F.lit(False)).alias("literal"),
         (-F.col(row_id)).alias("first"),
@@ -110,7 +110,7 @@ def coalesce_rows(df: DataFrame, keys: Sequence[str], row_id: str = ID) -> DataF
         if c in keys or c == row_id:
             continue
         v = F.when(~empty_test(df, c), F.col(c))
-        rank = F.length(c) if isinstance(kinds[c], T.StringType) else significant_digits(F.col(c))
+        rank = F.length(c) if isinstance(kinds[c], T.StringType) else significant_digits(F.col(c), kinds[c])
         aggs.append(F.max_by(v, F.when(v.isNotNull(), F.struct(rank, -F.col(row_id)))).alias(c))
     return df.groupBy(*keys).agg(*aggs)
 

@@ -90,9 +90,9 @@ def compact_points(fields: DataFrame, keys: Sequence[str], order: str = "field_i
     """
     f = fields.select(*keys, order, F.posexplode(F.split(F.col(value), ",")).alias("part", "raw")).withColumn("raw", F.trim("raw")).filter(F.col("raw") != "")
     raw = F.col("raw")
-    through = F.when(raw.startswith("Through:"), F.trim(F.substring(raw, 9, 1000)))
-    days = F.when(raw.startswith("For:"), F.trim(F.substring(raw, 5, 1000)))
-    until = F.when(raw.startswith("Until:"), F.trim(F.substring(raw, 7, 1000)))
+    through = F.when(raw.startswith("Through:"), F.trim(F.substring(raw, F.lit(9), F.length(raw))))
+    days = F.when(raw.startswith("For:"), F.trim(F.substring(raw, F.lit(5), F.length(raw))))
+    until = F.when(raw.startswith("Until:"), F.trim(F.substring(raw, F.lit(7), F.length(raw))))
     at = F.struct(order, "part")
     f = ordered.carry_forward(
         f, keys, order,
@@ -165,8 +165,16 @@ def best_schedule_type(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(kind.alias("schedule_type"), F.count("*").alias("points"))
 
 
+# Fixed value: pairs of an interval object.
+INTERVAL_PAIRS = 25
+
+
 def from_points(points: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
-    """Fields of the target schedule type as (field_idx, field_name, value)."""
+    """Fields of the target schedule type as (field_idx, field_name, value).
+
+    An interval object holds ``INTERVAL_PAIRS`` points. A day of more, once points that repeat the value before them are
+    left out, becomes one row with field_idx -1 and field_name ``error``; it is never cut short.
+    """
     if target == "Schedule:Constant":
         n = points.groupBy(*keys, "value").agg(F.count("*").alias("n"))
         mode = n.groupBy(*keys).agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("v"))
@@ -176,15 +184,21 @@ def from_points(points: DataFrame, keys: Sequence[str], target: str) -> DataFram
         return h.select(*keys, F.col("hour").alias("field_idx"), F.concat(F.lit("Hour_"), (F.col("hour") + 1).cast("string"), F.lit("_Value")).alias("field_name"), F.col("value").cast("string").alias("value"))
     arr = as_array(points, keys)
     if target == "Schedule:Day:Interval":
-        # fixed value: the object holds 25 pairs
-        p = arr.select(*keys, F.posexplode(F.slice("points", 1, 25)).alias("i", "p"))
+        last = F.size("points") - 1
+        turns = F.filter("points", lambda p, i: (i == 0) | (i == last) | ~F.get("points", i + 1)["value"].eqNullSafe(p["value"]))
+        arr = arr.withColumn("points", F.when(F.size("points") > INTERVAL_PAIRS, turns).otherwise(F.col("points")))
+        long = F.size("points") > INTERVAL_PAIRS
+        said = F.concat(F.size("points").cast("string"), F.lit(f" points; the object holds {INTERVAL_PAIRS}"))
+        errors = arr.filter(long).select(*keys, F.lit(-1).alias("field_idx"), F.lit("error").alias("field_name"), said.alias("value"))
+        arr = arr.filter(~long)
+        p = arr.select(*keys, F.posexplode("points").alias("i", "p"))
         n = (F.col("i") + 1).cast("string")
         rows = F.array(
             F.struct((F.col("i") * 2 + 1).alias("field_idx"), F.concat(F.lit("Time_"), n).alias("field_name"), clock(F.col("p.minute")).alias("value")),
             F.struct((F.col("i") * 2 + 2).alias("field_idx"), F.concat(F.lit("Value_Until_Time_"), n).alias("field_name"), F.col("p.value").cast("string").alias("value")),
         )
         head = arr.select(*keys, F.lit(0).alias("field_idx"), F.lit("Interpolate_to_Timestep").alias("field_name"), F.lit("No").alias("value"))
-        return head.unionByName(p.select(*keys, F.inline(rows)))
+        return head.unionByName(p.select(*keys, F.inline(rows))).unionByName(errors)
     if target == "Schedule:Compact":
         until = F.transform("points", lambda p: F.concat(F.lit("Until: "), clock(p["minute"]), F.lit(","), p["value"].cast("string")))
         # fixed values: weekday pattern, weekend off

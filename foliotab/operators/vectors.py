@@ -63,11 +63,15 @@ def _size(df: DataFrame, name: str, block: int) -> DataFrame:
     return df.groupBy("__g").agg(F.ceil(F.count("*") / block).alias(name))
 
 
+def _kind(df: DataFrame) -> str:
+    return df.schema["id"].dataType.simpleString()
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = 8, block: int = BLOCK) -> DataFrame:
     """``queries(id, v)`` against ``vectors(id, v)``: (query_id, vec_id, similarity, rank)."""
     q, x = queries.select(F.lit(0).alias("__g"), "id", "v"), vectors.select(F.lit(0).alias("__g"), "id", "v")
     sizes = _size(q, "ql", block).join(_size(x, "xl", block), "__g")
-    near = _blocked(_blocks(q, sizes, "ql", "xl", "__lb", "__rb"), _blocks(x, sizes, "xl", "ql", "__rb", "__lb"), k, "__g int, query_id long, vec_id long, similarity double", None)
+    near = _blocked(_blocks(q, sizes, "ql", "xl", "__lb", "__rb"), _blocks(x, sizes, "xl", "ql", "__rb", "__lb"), k, f"__g int, query_id {_kind(queries)}, vec_id {_kind(vectors)}, similarity double", None)
     top = ordered.top_per_group(near, ["query_id"], [F.col("similarity").desc(), F.col("vec_id")], k)
     return top.select("query_id", "vec_id", "similarity", "rank")
 
@@ -79,17 +83,17 @@ def context_text(hits: DataFrame, texts: DataFrame, text: str = "text") -> DataF
     return j.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["t"]), "\n\n").alias("context"))
 
 
-def chunk_graph(chunks: DataFrame, k: int = 3, threshold: float = 0.8, block: int = BLOCK, width: int | None = None) -> DataFrame:
-    """Undirected edges of ``chunks(doc, id, v)``: id order (weight 1) and the k nearest with similarity >= threshold.
+def chunk_graph(chunks: DataFrame, k: int = 3, threshold: float = 0.8, block: int = BLOCK, width: int | None = None, order: str = "id") -> DataFrame:
+    """Undirected edges of ``chunks(doc, id, v)``: ``order`` (a number or time; weight 1) and the k nearest with similarity >= threshold.
 
     An edge both ways counts once; a sequential edge wins over a semantic one.
     """
-    seq = ordered.neighbours(chunks.select("doc", "id"), ["doc"], "id", following={"dst": F.col("id")}, width=width).filter("dst is not null")
+    seq = ordered.neighbours(chunks.select(*dict.fromkeys(["doc", "id", order])), ["doc"], order, following={"dst": F.col("id")}, width=width).filter("dst is not null")
     seq = seq.select("doc", F.col("id").alias("src"), "dst", F.lit(1.0).alias("weight"), F.lit("sequential").alias("edge_type"))
     x = chunks.select(F.col("doc").alias("__g"), "id", "v")
     sizes = _size(x, "n", block)
     kind = chunks.schema["doc"].dataType.simpleString()
-    near = _blocked(_blocks(x, sizes, "n", "n", "__lb", "__rb"), _blocks(x, sizes, "n", "n", "__rb", "__lb"), k, f"__g {kind}, query_id long, vec_id long, similarity double", threshold)
+    near = _blocked(_blocks(x, sizes, "n", "n", "__lb", "__rb"), _blocks(x, sizes, "n", "n", "__rb", "__lb"), k, f"__g {kind}, query_id {_kind(chunks)}, vec_id {_kind(chunks)}, similarity double", threshold)
     top = ordered.top_per_group(near, ["__g", "query_id"], [F.col("similarity").desc(), F.col("vec_id")], k)
     sem = top.select(F.col("__g").alias("doc"), F.least("query_id", "vec_id").alias("src"), F.greatest("query_id", "vec_id").alias("dst"), F.col("similarity").alias("weight"), F.lit("semantic").alias("edge_type"))
     # "semantic" < "sequential"

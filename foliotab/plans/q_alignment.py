@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_token
 from ..operators import alignment as A
 from ..operators import vectors as V
-from ..session import spread
 from .registry import query
 
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -16,12 +15,12 @@ offs as (select doc_id, i, t, cast(coalesce(sum(length(t)) over (partition by do
   regexp_matches(t, '^{WS}') as gap, lag(t) over (partition by doc_id order by i) as before from pieces),
 toks as (select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as idx, t as token, start, cast(start + length(t) as int) as "end",
   case when regexp_full_match(t, '[0-9]+') then 'NUMBER' when contains(t, '/') and regexp_full_match(t, '[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+') then 'ACRONYM' when regexp_full_match(t, '[A-Za-z]+') then 'WORD' else 'PUNCTUATION' end as type,
-  coalesce(regexp_matches(before, '[\n\r]'), false) and row_number() over (partition by doc_id order by i) > 1 as after_newline from offs where not gap)
+  coalesce(contains(before, chr(10)), false) and row_number() over (partition by doc_id order by i) > 1 as after_newline from offs where not gap)
 """
 
 
 def docs(t):
-    return A.tokenize(spread(t.documents.select("doc_id", "text")))
+    return A.tokenize(t.documents.select("doc_id", "text"))
 
 
 @query("c19_tokenize", PIECES + 'select doc_id, idx, md5(token) as token, type, start, "end", after_newline from toks')
@@ -99,12 +98,12 @@ SIM = "round(list_cosine_similarity(cast({a}.embedding as double[]), cast({b}.em
 
 
 @query("c18_knn", f"""
-with s as (select a.vec_id as query_id, b.vec_id, {SIM.format(a='a', b='b')} as similarity from embeddings a, embeddings b where a.label = 3),
+with s as (select a.vec_id as query_id, b.vec_id, {SIM.format(a='a', b='b')} as similarity from embeddings a, embeddings b),
 k as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as k from s)
 select query_id, vec_id, round(similarity, 6) as similarity, cast(k as int) as rank from k where k <= 8""")
 def _(t):
     x = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
-    return V.knn(x.filter("label = 3"), x, 8, block=128).withColumn("similarity", F.round("similarity", 6))
+    return V.knn(x, x, 8).withColumn("similarity", F.round("similarity", 6))
 
 
 GRAPH = f"""
@@ -118,7 +117,7 @@ graph as (select doc, src, dst, arg_max(weight, edge_type) as weight, max(edge_t
 
 
 def graph(t):
-    return V.chunk_graph(t.embeddings.select(F.col("label").alias("doc"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3, 0.3, block=32, width=50)
+    return V.chunk_graph(t.embeddings.select(F.col("label").alias("doc"), F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 3, 0.3)
 
 
 @query("c14_chunk_graph", GRAPH + "select doc, src, dst, round(weight, 6) as weight, edge_type from graph")

@@ -84,15 +84,15 @@ def _(t):
 
 
 DUP = """
-with n as (select o_orderkey, cast(o_custkey % 50 as varchar) as key, o_orderpriority as name, o_orderstatus as frequency from orders where year(o_orderdate) >= 1998),
-e as (select distinct cast(o_custkey % 50 as varchar) as key, o_orderpriority as name, lower(o_orderstatus) as frequency from orders where year(o_orderdate) = 1995)
+with n as (select o_orderkey, cast(o_custkey % 50 as varchar) as key, o_orderpriority as name, o_orderstatus as frequency from orders where year(o_orderdate) >= 1996),
+e as (select distinct cast(o_custkey % 50 as varchar) as key, o_orderpriority as name, lower(o_orderstatus) as frequency from orders where year(o_orderdate) < 1996)
 """
 
 
 def dup(t):
     key = (F.col("o_custkey") % 50).cast("string").alias("key")
-    new = t.orders.filter(F.year("o_orderdate") >= 1998).select("o_orderkey", key, F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("frequency"))
-    old = t.orders.filter(F.year("o_orderdate") == 1995).select(key, F.col("o_orderpriority").alias("name"), F.lower("o_orderstatus").alias("frequency"))
+    new = t.orders.filter(F.year("o_orderdate") >= 1996).select("o_orderkey", key, F.col("o_orderpriority").alias("name"), F.col("o_orderstatus").alias("frequency"))
+    old = t.orders.filter(F.year("o_orderdate") < 1996).select(key, F.col("o_orderpriority").alias("name"), F.lower("o_orderstatus").alias("frequency"))
     return new, old
 
 

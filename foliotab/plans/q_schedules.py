@@ -20,8 +20,10 @@ POINTS = """
 with e as (select event_id, user_id, epoch_us(ts) // 86400000000 as day, cast(epoch_us(ts) // 60000000 % 1440 as int) as minute, cast(floor(value) % 3 as double) as value from events where value is not null),
 p as (select user_id, day, minute, arg_max(value, event_id) as value from e group by all)
 """
-HOURS = POINTS + """, h as (select k.user_id, k.day, cast(hour as int) as hour, coalesce((select arg_max(value, minute) from p where p.user_id = k.user_id and p.day = k.day and p.minute <= hour * 60), first_value_) as value
-  from (select user_id, day, arg_min(value, minute) as first_value_ from p group by all) k, range(0, 24) r(hour))
+HOURS = POINTS + """, k as (select user_id, day, arg_min(value, minute) as first_value_ from p group by all),
+w as (select k.*, cast(hour as int) as hour, cast(hour * 60 as int) as at from k, range(0, 24) r(hour)),
+h as materialized (select w.user_id, w.day, w.hour, coalesce(p.value, w.first_value_) as value
+  from w asof left join p on p.user_id = w.user_id and p.day = w.day and w.at >= p.minute)
 """
 
 

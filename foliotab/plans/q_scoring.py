@@ -156,36 +156,36 @@ def _(t):
     return S.question_flags(s)
 
 
-RUNS = """
+YEARS = range(1995, 2002)
+RUNS = f"""
 with s as (select o_custkey as question_id, year(o_orderdate) as run, o_orderpriority as tool, o_totalprice > 150000 as c, o_orderstatus from orders),
 cmp as (select question_id,
-    bool_and(c) filter (run = {a}) as run_0_correct, bool_or(c) filter (run = {a}) as run_0_any_correct,
-    bool_and(c) filter (run = {b}) as run_1_correct, bool_or(c) filter (run = {b}) as run_1_any_correct,
-    count(distinct run) = 2 as in_all_runs from s where run in ({a}, {b}) group by question_id)
+    {", ".join(f"bool_and(c) filter (run = {y}) as run_{i}_correct, bool_or(c) filter (run = {y}) as run_{i}_any_correct" for i, y in enumerate(YEARS))},
+    count(distinct run) = {len(YEARS)} as in_all_runs from s group by question_id)
 """
-RUNS = RUNS.format(a=1997, b=1998)
+EVER = "(" + " or ".join(f"coalesce(run_{i}_correct, false)" for i in range(len(YEARS))) + ")"
 
 
-def two_runs(t):
+def all_runs(t):
     s = t.orders.select(
         F.col("o_custkey").alias("question_id"), F.year("o_orderdate").alias("run"), F.col("o_orderpriority").alias("tool"),
         (F.col("o_totalprice") > 150000).alias("correct_bool"), F.lit(None).cast("double").alias("correct_num"),
     )
-    return S.compare_runs(s, [1997, 1998])
+    return S.compare_runs(s, list(YEARS))
 
 
 @query("g13_compare_runs", RUNS + "select * from cmp")
 def _(t):
-    return two_runs(t)
+    return all_runs(t)
 
 
 @query("g14_regressions", RUNS + """
 select 'regressed' as preset, question_id from cmp where run_0_correct and not run_1_correct
-union all select 'all_wrong', question_id from cmp where not (coalesce(run_0_correct, false) or coalesce(run_1_correct, false))
-union all select 'any_right', question_id from cmp where coalesce(run_0_correct, false) or coalesce(run_1_correct, false)""")
+union all select 'all_wrong', question_id from cmp where not """ + EVER + """
+union all select 'any_right', question_id from cmp where """ + EVER)
 def _(t):
-    c = two_runs(t)
-    parts = [S.regressions(c, p).select(F.lit(p).alias("preset"), "question_id") for p in ("regressed", "all_wrong", "any_right")]
+    c = all_runs(t)
+    parts = [S.regressions(c, p, len(YEARS)).select(F.lit(p).alias("preset"), "question_id") for p in ("regressed", "all_wrong", "any_right")]
     return parts[0].union(parts[1]).union(parts[2])
 
 

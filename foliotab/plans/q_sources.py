@@ -81,7 +81,7 @@ def _(t):
 
 
 @query("a05_read_results", """
-select conv_id as question_id, arg_min(role, turn) as gold, arg_min(case when turn % 3 <> 1 then 'm' || turn end, turn) as level, min(turn) as turn from conversations group by conv_id""")
+select turn as run, conv_id as question_id, role as gold, case when turn % 3 <> 1 then 'm' || turn end as level from conversations""")
 def _(t):
     r = F.to_json(F.struct(F.col("conv_id").alias("question_id"), F.col("role").alias("gold"), "turn"))
     m = F.to_json(F.struct(F.concat(F.lit("m"), F.col("turn").cast("string")).alias("level")))
@@ -89,7 +89,7 @@ def _(t):
     text = F.when(F.col("turn") % 3 == 0, wrap("[[", r, "],[", m, "]]")).when(F.col("turn") % 3 == 1, wrap("[", r, "]")).otherwise(wrap('{"results":[', r, '],"all_metadata":[', m, "]}"))
     files = t.conversations.select(F.col("turn").alias("file"), text.alias("text"))
     out = S.parse_results(files, "struct<question_id: bigint, gold: string, turn: bigint>", "struct<level: string>")
-    return out.select("question_id", "gold", F.col("metadata.level").alias("level"), "turn")
+    return out.select(F.col("file").alias("run"), "question_id", "gold", F.col("metadata.level").alias("level"))
 
 
 @query("a06_read_documents", """
@@ -201,6 +201,25 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.date_format(series.parse_time(text), "yyyy-MM-dd HH:mm:ss").alias("time"))
 
 
+@query("a14_read_series", """
+with o as (select o_orderkey as k, o_custkey as c, o_totalprice as p, row_number() over (partition by o_orderkey % 2 order by o_orderkey) - 1 as row from orders),
+r as (select k % 2 as kind, row, k, c, p from o)
+select kind, row, 'North, upper:Load' as series, 'W' as unit, c::double as value from r where kind = 0
+union all select kind, row, 'Cost', 'EUR', p from r union all select kind, row, 'Key', '', k::double from r where kind = 1""")
+def _(t):
+    """Two files of different columns in one folder; one header cell is quoted and holds a comma, some cells are quoted."""
+    path = scratch_path(t.spark, "series")
+    o = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("string").alias("p"))
+    zone = F.concat(F.lit("01/02 03:00:00,"), F.lit('"'), F.col("o_custkey").cast("string"), F.lit('",'), "p")
+    key = F.concat("p", F.lit(",01/02 03:00:00,"), F.col("o_orderkey").cast("string"))
+    for kind, head, body in ((0, 'Time,"North, upper:Load [W](Hourly)",Cost [EUR]', zone), (1, "Cost [EUR],Date/Time,Key", key)):
+        own = o.filter(F.col("o_orderkey") % 2 == kind).select(F.col("o_orderkey").alias("k"), body.alias("value"))
+        top = t.spark.createDataFrame([(-1, head)], "k long, value string")
+        own.unionByName(top).repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(f"{path}/{kind}")  # one file is the case
+    s = series.read_series(t.spark, f"{path}/*")
+    return s.select(F.regexp_extract("file", "/([01])/[^/]*$", 1).cast("bigint").alias("kind"), "row", "series", "unit", "value")
+
+
 @query("a14_minutes_of_day", """
 select event_id, case when h < 24 or (h = 24 and m = 0) then cast(h * 60 + m as int) end as minute from (select event_id, event_id % 26 as h, event_id % 60 as m from events)""")
 def _(t):

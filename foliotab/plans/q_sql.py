@@ -27,7 +27,7 @@ def _(t):
         "select l_returnflag as flag, count(*) as n, sum(cast(l_quantity as bigint)) as quantity from evidence group by l_returnflag",
         {"evidence": t.lineitem},
     )
-    bad = transform_sql(t.spark, "select no_such_column from evidence", {})
+    bad = transform_sql(t.spark, "select no_such_column from evidence", {"evidence": t.lineitem})
     no = transform_sql(t.spark, "delete from evidence", {})
     notes = good.frame.limit(0)
     assert bad.error and no.error

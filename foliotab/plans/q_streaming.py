@@ -8,7 +8,11 @@ from ..streaming import events as H
 from .registry import query
 
 
-def source(t, df, order, files=4):
+FILES = 64
+END = "__end"
+
+
+def source(t, df, order, files=FILES):
     """The rows as a file stream; files are written in order of the ranges of ``order``."""
     path = scratch_path(t.spark, "stream")
     df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
@@ -21,18 +25,21 @@ def calls(t):
     return e.filter("event is not null")
 
 
+def closed(e, top, *rows):
+    """The events and, a day after the last, rows that move the watermark beyond all of them; they are left out again."""
+    last = e.agg((F.max(top) + F.expr("interval 1 day")).alias("__top"))
+    return e.unionByName(last.select(F.inline(F.array(*[F.struct(*[(F.col("__top") if v is None else F.lit(v)).cast(e.schema[c].dataType).alias(c) for c, v in zip(e.columns, r)]) for r in rows]))))
+
+
 @query("h01_pair_events_stream", """
-with e as (select event_id, ts, cast(user_id as varchar) as request, event_type from events),
-top as (select least(max(ts) filter (event_type = 'view'), max(ts) filter (event_type = 'click')) as m from e)
+with e as (select event_id, ts, cast(user_id as varchar) as request, event_type from events)
 select s.request, cast(epoch_us(s.ts) as bigint) as start_us, cast(epoch_us(c.ts) as bigint) as end_us, c.ts is not null as matched
-from e s left join e c on c.event_type = 'click' and c.request = s.request and c.ts >= s.ts and c.ts <= s.ts + interval 1 hour, top
-where s.event_type = 'view' and s.ts < m - interval 2 hour""")
+from e s left join e c on c.event_type = 'click' and c.request = s.request and c.ts >= s.ts and c.ts <= s.ts + interval 1 hour
+where s.event_type = 'view'""")
 def _(t):
-    """Starts whose outcome is final: at least two hours before the end of the shorter side, past any watermark."""
-    e = calls(t)
-    out = H.run_available(H.pair_events_stream(source(t, e, "ts", 1)), "append")
-    top = e.agg(F.least(F.max(F.when(F.col("event") == N.START, F.col("ts"))), F.max(F.when(F.col("event") == N.END, F.col("ts")))).alias("m"))
-    out = out.join(F.broadcast(top)).filter(F.col("start_ts") < F.col("m") - F.expr("interval 2 hours"))
+    """Every start, matched or not."""
+    e = closed(calls(t), "ts", (-1, None, END, N.START), (-2, None, END, N.END))
+    out = H.run_available(H.pair_events_stream(source(t, e, "ts")), "append").filter(F.col("request") != END)
     return out.select("request", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "matched")
 
 
@@ -50,19 +57,19 @@ def _(t):
 
 
 @query("h03_latency_windows", """
-select cast(epoch_us(date_trunc('hour', ts)) as bigint) as start_us, event_type, cast(count(*) as bigint) as calls, cast(sum(cast(value as decimal(18,2))) as double) as total, max(value) as worst
-from events where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hour group by 1, 2""")
+select cast(epoch_us(date_trunc('hour', ts)) as bigint) as start_us, event_type, cast(count(*) as bigint) as calls, cast(sum(cast(value as decimal(18,2))) as double) as total, cast(max(cast(value as decimal(18,2))) as double) as worst
+from events group by 1, 2""")
 def _(t):
-    """Windows that the watermark has closed."""
-    e = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    out = H.run_available(H.latency_windows(source(t, e, "ts")), "append")
-    top = e.agg(F.max("ts").alias("m"))
-    out = out.join(F.broadcast(top)).filter(F.col("window_start") + F.expr("interval 1 hour") <= F.col("m") - F.expr("interval 2 hours")).drop("m")
-    return out.select(F.unix_micros("window_start").alias("start_us"), "event_type", "calls", "total", "worst")
+    """Every window; cents as decimals, so that the sum has one value in any order."""
+    e = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
+    out = H.run_available(H.latency_windows(source(t, closed(e, "ts", (None, END, 0)), "ts")), "append").filter(F.col("event_type") != END)
+    return out.select(F.unix_micros("window_start").alias("start_us"), "event_type", "calls", F.col("total").cast("double").alias("total"), F.col("worst").cast("double").alias("worst"))
 
 
 @query("h04_segment_stream", """
 select user_id as run, event_id as line, cast(sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id rows unbounded preceding) as bigint) as segment from events""")
 def _(t):
-    e = t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_type") == "purchase").alias("marker"), F.col("ts").cast("timestamp").alias("ts"))
-    return H.run_available(H.segment_stream(source(t, e, "line", 1)), "append")
+    e = t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_type") == "purchase").cast("int").alias("marker"))
+    sink, out = H.segment_sink(t.spark)
+    H.run_available(source(t, e, "line"), "append", sink)
+    return t.spark.read.parquet(out).drop("batch")

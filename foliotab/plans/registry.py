@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +24,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, path: fn(Tables(spark, str(Path(path))))
+        QUERIES[name] = lambda spark, path: fn(Tables(spark, str(path)))
         if sql:
             SQL[name] = sql
         return fn

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import sys
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -29,7 +30,9 @@ def get_session(cpus: str | int = "*", shuffle_partitions: int = 8, memory: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """Folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one on a local master, else an error:
+    executors on other machines would not see it.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
@@ -37,11 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if spark.sparkContext.getCheckpointDir():
         return spark.sparkContext.getCheckpointDir().rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("foliotab.scratch", None) or _local_scratch(spark)
 
 
 def _local_scratch(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="foliotab-", dir=os.environ.get("TMPDIR"))
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.conf.set("foliotab.scratch", path)
     return path
 
@@ -67,22 +73,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Counts ``df`` and hints a broadcast only within ``max_rows``; above it Spark shuffles both sides."""
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
 def ship_by_value(module: str) -> None:
     """Python functions of the module travel inside the task, so executors need no installed package."""
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the cluster has cores, before work that is heavy per row.
-
-    For a plan of scans and projections only: asking it for its splits then runs nothing. A large table has more
-    splits than cores and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

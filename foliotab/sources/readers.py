@@ -45,16 +45,22 @@ def number_lines_of(lines: DataFrame) -> DataFrame:
 
 
 def read_json_or_lines(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A whole JSON text if the first line is not JSON by itself, else JSON lines; a bad line fails with its number."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    first = lines.select(F.trim("value").alias("v"), F.try_parse_json("value").isNotNull().alias("ok")).head()
-    if first is None:
-        return spark.createDataFrame([], schema)
-    if first.v.startswith("[") or not first.ok:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    numbered = number_lines_of(text_lines(spark, path)).filter(F.trim("text") != "")
-    checked = F.when(F.try_parse_json("text").isNull(), F.raise_error(F.concat(F.lit("bad JSON in line "), F.col("line").cast("string")))).otherwise(F.col("text"))
-    return numbered.select(F.from_json(checked, schema).alias("r")).select("r.*")
+    """Rows of JSON lines and of whole JSON texts, decided for each file; a line may hold one object or a list of them.
+
+    A file whose first filled line is a JSON value is read by lines, any other one as a whole. A line that is not JSON, or a
+    whole text that is not, fails with the number of the first bad line.
+    Only files with a bad line are gathered to one row, as a JSON text over many lines has to be.
+    """
+    kind = schema if isinstance(schema, str) else schema.simpleString().removeprefix("struct<").removesuffix(">")
+    numbered = number_lines_of(text_lines(spark, path)).filter(F.trim("text") != "").withColumn("ok", F.try_parse_json("text").isNotNull())
+    bad = numbered.groupBy("file").agg(F.min(F.when(~F.col("ok"), F.col("line"))).alias("bad_line"), F.min_by("ok", "line").alias("by_lines")).filter("bad_line is not null")
+    lines = numbered.join(bad, "file", "left_anti").select("text", F.lit(None).cast("string").alias("why"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")).join(bad, "file")
+    why = F.when(F.col("by_lines") | F.try_parse_json("text").isNull(), F.concat(F.lit("bad JSON in line "), F.col("bad_line").cast("string"), F.lit(" of "), F.col("file")))
+    texts = lines.unionByName(whole.select("text", why.alias("why")))
+    checked = F.when(F.col("why").isNotNull(), F.raise_error(F.col("why"))).otherwise(F.trim("text"))
+    items = F.when(checked.startswith("["), F.from_json(checked, f"array<struct<{kind}>>")).otherwise(F.array(F.from_json(checked, f"struct<{kind}>")))
+    return texts.select(F.inline(items))
 
 
 def parse_event_lines(lines: DataFrame, schema: T.StructType | str, keys: Sequence[str] = ("file",), line: str = "line", text: str = "text") -> DataFrame:
@@ -109,22 +115,24 @@ def read_multiline_log(spark: SparkSession, path: str, schema: T.StructType | st
 
 
 def parse_results(files: DataFrame, result: str, metadata: str, text: str = "text", keys: Sequence[str] = ("file",), order: str | None = None) -> DataFrame:
-    """Results files of three shapes to (question_id first seen): ``[[results],[metadata]]``, ``[results]``, ``{results, metadata}``.
+    """Results files of three shapes: ``[[results],[metadata]]``, ``[results]``, ``{results, metadata}``; keys stay in the rows.
 
     ``result`` and ``metadata`` are DDL structs; the result struct has ``question_id``. Result and metadata pair up
-    by position.
+    by position; where a file has no metadata list, an item's own ``metadata`` counts. Of a question that a file (a run)
+    holds twice the first one stays; each run keeps its own.
     """
     t = F.ltrim(text)
     pair = F.from_json(t, "array<string>")
     nested, flat = t.rlike(r"^\[\s*\["), t.rlike(r"^\[")
-    obj = F.from_json(t, "struct<results: string, metadata: string, all_metadata: string>")
+    obj = F.from_json(t, "struct<results: string, metadata: string, all_metadata: string, misc_question_metadata: string>")
     r = F.when(nested, F.get(pair, F.lit(0))).when(flat, t).otherwise(obj["results"])
-    m = F.when(nested, F.get(pair, F.lit(1))).when(~flat, F.coalesce(obj["metadata"], obj["all_metadata"]))
-    both = F.arrays_zip(F.from_json(r, f"array<{result}>").alias("r"), F.coalesce(F.from_json(m, f"array<{metadata}>"), F.array().cast(f"array<{metadata}>")).alias("m"))
+    m = F.when(nested, F.get(pair, F.lit(1))).when(~flat, F.coalesce(obj["metadata"], obj["all_metadata"], obj["misc_question_metadata"]))
+    own = F.transform(F.from_json(r, f"array<struct<metadata: {metadata}>>"), lambda x: x["metadata"])
+    both = F.arrays_zip(F.from_json(r, f"array<{result}>").alias("r"), F.coalesce(F.from_json(m, f"array<{metadata}>"), own).alias("m"))
     rows = files.select(*keys, *([order] if order else []), F.posexplode(both).alias("pos", "x")).filter("x.r is not null")
     rows = rows.select(*keys, *([order] if order else []), "pos", "x.r.*", F.col("x.m").alias("metadata"))
-    first = [F.col(order)] if order else [F.col(k) for k in keys]
-    return ordered.best_row(rows, ["question_id"], F.struct(*first, F.col("pos")), largest=False)
+    first = [F.col(order)] if order else []
+    return ordered.best_row(rows, [*keys, "question_id"], F.struct(*first, F.col("pos")), largest=False)
 
 
 def read_results(spark: SparkSession, path: str, result: str, metadata: str) -> DataFrame:

@@ -34,19 +34,28 @@ def parse_time(text: Column, year: int = 2000) -> Column:
 
 
 def read_series(spark: SparkSession, path: str, year: int = 2000) -> DataFrame:
-    """(file, row, time, series, unit, value); rows whose time does not parse keep time NULL and their row number."""
+    """(file, row, time, series, unit, value); rows whose time does not parse keep time NULL and their row number.
+
+    Every file has its own header, so a folder may mix files of different columns. Cells may be quoted and hold commas.
+    Rows of another number of cells than their header (summary rows at the end) are left out. The time column is the one
+    called date/time, time or datetime, else the first.
+    """
     from .readers import number_lines_of, text_lines
 
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    stamp = next((c for c in raw.columns if c.strip().lower() in ("date/time", "time", "datetime")), raw.columns[0])
-    series = [c for c in raw.columns if c != stamp]
-    # the row number comes from the text lines, as csv rows carry no position
-    lines = number_lines_of(text_lines(spark, path)).filter("line > 1")
-    cells = F.split("text", ",")
-    rows = lines.select("file", (F.col("line") - 2).alias("row"), cells.alias("c")).filter(F.size("c") == len(raw.columns))
-    at = raw.columns.index(stamp)
-    rows = rows.withColumn("time", parse_time(F.get("c", F.lit(at)), year))
-    pairs = F.array(*[F.struct(F.lit(s).alias("name"), F.get("c", F.lit(raw.columns.index(s))).alias("v")) for s in series])
-    out = rows.select("file", "row", "time", F.inline(pairs)).withColumn("value", F.trim("v").try_cast("double")).filter("value is not null")
+    lines = number_lines_of(text_lines(spark, path)).select("file", "line", csv_cells(F.col("text")).alias("c"))
+    lowered = F.transform("c", lambda x: F.lower(F.trim(x)))
+    stamp = F.greatest(F.array_position(F.transform(lowered, lambda x: x.isin("date/time", "time", "datetime")), True), F.lit(1)) - 1
+    heads = lines.filter("line = 1").select("file", F.col("c").alias("names"), stamp.cast("int").alias("stamp"))
+    rows = lines.filter("line > 1").join(heads, "file").filter(F.size("c") == F.size("names")).select("file", (F.col("line") - 2).alias("row"), "c", "names", "stamp")
+    cells = F.filter(F.transform("names", lambda n, i: F.struct(n.alias("name"), F.get("c", i).alias("v"), i.alias("i"))), lambda x: x["i"] != F.col("stamp"))
+    rows = rows.withColumn("time", parse_time(F.get("c", F.col("stamp")), year))
+    out = rows.select("file", "row", "time", F.inline(cells)).withColumn("value", F.trim("v").try_cast("double")).filter("value is not null")
     unit = F.regexp_extract("name", r"\[([^\]]*)\](?:\([^)]*\))?\s*$", 1)
     return out.select("file", "row", "time", F.trim(F.regexp_replace("name", r"\s*\[[^\]]*\](\([^)]*\))?\s*$", "")).alias("series"), unit.alias("unit"), "value")
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of one CSV line; a cell in double quotes may hold commas and doubled quotes."""
+    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    plain = lambda x: F.when(x.rlike('^".*"$'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+    return F.transform(raw, plain)

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import ordered
 from ..operators.runs import END, ERROR, START
 from ..operators.scoring import is_correct
-from ..session import scratch_path, ship_by_value
-
-ship_by_value(__name__)
+from ..session import scratch_path
 
 
 def pair_events_stream(events: DataFrame, request: str = "request", ts: str = "ts", event: str = "event", delay: str = "10 minutes", within: str = "1 hour") -> DataFrame:
@@ -33,36 +30,37 @@ def latency_windows(events: DataFrame, ts: str = "ts", value: str = "value", key
     """Calls, total and worst latency per (sliding) window and key."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     g = events.withWatermark(ts, delay).groupBy(w, key) if events.isStreaming else events.groupBy(w, key)
-    return g.agg(F.count("*").alias("calls"), F.sum(F.col(value).cast("decimal(18,2)")).cast("double").alias("total"), F.max(value).alias("worst")).select(
+    return g.agg(F.count("*").alias("calls"), F.sum(value).alias("total"), F.max(value).alias("worst")).select(
         F.col("window.start").alias("window_start"), key, "calls", "total", "worst"
     )
 
 
-def segment_stream(log: DataFrame, key: str = "run", order: str = "line", marker: str = "marker", ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Segment number per line as it arrives: the state of a run is its number of markers so far.
+def segment_sink(spark: SparkSession, key: str = "run", order: str = "line", marker: str = "marker", width: int | None = None) -> tuple[Callable[[DataFrame, int], None], str]:
+    """Sink of a log stream, and the folder where it leaves (key, order, segment): the number of markers of the run so far.
 
-    Lines of a run are taken in ``order`` inside each micro-batch; batches follow the log.
+    Lines of a run are taken in ``order`` inside a micro-batch, by two-level sums, so that a run of any length spreads over
+    tasks; batches follow the log. The markers of earlier batches come from a table of one row per run that each batch
+    writes anew, under its own number: a batch that is run again after a failure gives the same rows.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in log.schema.fields}
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = state.get[0] if state.exists else 0
-        parts = list(batches)
-        if parts:
-            rows = pd.concat(parts).sort_values(order)
-            seg = seen + rows[marker].astype("int64").cumsum()
-            state.update((int(seg.iloc[-1]),))
-            yield pd.DataFrame({key: rows[key], order: rows[order], "segment": seg})
-
-    return log.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {order} {kinds[order]}, segment long", "seen long", "append", GroupStateTimeout.NoTimeout
-    )
+    out, seen = scratch_path(spark, "segments"), scratch_path(spark, "seen")
+
+    def sink(batch: DataFrame, i: int) -> None:
+        kind = batch.schema[key].dataType.simpleString()
+        before = spark.read.parquet(f"{seen}/{i - 1}") if i else spark.createDataFrame([], f"{key} {kind}, __seen bigint")
+        rows = batch.select(key, order, F.col(marker).cast("bigint").alias("__m"))
+        summed = ordered.running_sum(rows, [key], order, {"__own": F.col("__m")}, width=width).join(before, key, "left")
+        summed.select(key, order, (F.col("__own") + F.coalesce("__seen", F.lit(0))).alias("segment")).write.mode("overwrite").parquet(f"{out}/batch={i:09d}")
+        now = rows.groupBy(key).agg(F.sum("__m").alias("__seen")).unionByName(before).groupBy(key).agg(F.sum("__seen").alias("__seen"))
+        now.write.mode("overwrite").parquet(f"{seen}/{i}")
 
+    return sink, out
 
-def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+
+def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
     """Run a stream over what its source holds now and return what it wrote.
 
-    Append output goes to a file sink; complete and update output keep the last batch per id.
+    Append output goes to a file sink; complete and update output keep the last batch per id. With a ``sink`` of its own
+    nothing is read back.
     """
     spark = stream.sparkSession
     out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
@@ -72,7 +70,9 @@ def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int],
     else:
         q = w.foreachBatch(sink or (lambda df, i: df.write.mode("overwrite").parquet(f"{out}/batch={i:09d}"))).start()
     q.awaitTermination()
-    if mode == "append" and sink is None:
+    if sink is not None:
+        return None
+    if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
     b = spark.read.option("basePath", out).parquet(out)
     last = b.agg(F.max("batch").alias("__b"))

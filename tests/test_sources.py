@@ -29,6 +29,16 @@ def test_json_or_lines(spark, tmp_path):
     c.write_text('{"id": 1}\n{"id": oops\n')
     for p in (a, b):
         assert sorted(r.id for r in readers.read_json_or_lines(spark, str(p), "id long").collect()) == [1, 2]
+    lists, both = tmp_path / "d.json", tmp_path / "both"
+    lists.write_text('[{"id": 1}, {"id": 2}]\n[{"id": 3}]\n{"id": 4}\n')
+    assert sorted(r.id for r in readers.read_json_or_lines(spark, str(lists), "id long").collect()) == [1, 2, 3, 4]
+    both.mkdir()
+    (both / "a.json").write_text(a.read_text())
+    (both / "b.json").write_text(b.read_text().replace("1", "7"))
+    assert sorted(r.id for r in readers.read_json_or_lines(spark, str(both), "id long").collect()) == [1, 2, 2, 7]
+    (tmp_path / "e.json").write_text("{oops\n")
+    with pytest.raises(Exception, match="line 1"):
+        readers.read_json_or_lines(spark, str(tmp_path / "e.json"), "id long").collect()
     with pytest.raises(Exception, match="line 2"):
         readers.read_json_or_lines(spark, str(c), "id long").collect()
 
@@ -46,7 +56,7 @@ def test_results_shapes(spark, tmp_path):
     (tmp_path / "2.json").write_text('[{"question_id": "q", "v": 2}, {"question_id": "r", "v": 3}]')
     (tmp_path / "3.json").write_text('{"results": [{"question_id": "s", "v": 4}], "metadata": [{"level": "n"}]}')
     d = readers.read_results(spark, str(tmp_path), "struct<question_id: string, v: int>", "struct<level: string>")
-    assert sorted((r.question_id, r.v, r.metadata.level if r.metadata else None) for r in d.collect()) == [("q", 1, "m"), ("r", 3, None), ("s", 4, "n")]
+    assert sorted((r.question_id, r.v, r.metadata.level if r.metadata else None) for r in d.collect()) == [("q", 1, "m"), ("q", 2, None), ("r", 3, None), ("s", 4, "n")]
 
 
 def test_documents_and_files(spark, tmp_path):
@@ -101,3 +111,17 @@ def test_series(spark, tmp_path):
     p.write_text("Date/Time,Z1:Temp [C](Hourly),Z1:Load [W]\n 01/31  23:00:00,1.5,10\n 01/31  24:00:00,2.5,\nCoinc Peak,9\n")
     got = [(r.row, str(r.time), r.series, r.unit, r.value) for r in series.read_series(spark, str(p)).orderBy("row", "series").collect()]
     assert got == [(0, "2000-01-31 23:00:00", "Z1:Load", "W", 10.0), (0, "2000-01-31 23:00:00", "Z1:Temp", "C", 1.5), (1, "2000-02-01 00:00:00", "Z1:Temp", "C", 2.5)]
+
+
+def test_series_of_different_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Time,"Z1, east:Temp [C]",Load [W]\n01/02 03:00:00,"1.5",2\n')
+    (tmp_path / "b.csv").write_text("Gas [J],Date/Time\n7,01/02 03:00:00\n8,Total\n")
+    got = [(r.file[-5:], r.row, r.series, r.unit, r.value) for r in series.read_series(spark, str(tmp_path)).orderBy("file", "row", "series").collect()]
+    assert got == [("a.csv", 0, "Load", "W", 2.0), ("a.csv", 0, "Z1, east:Temp", "C", 1.5), ("b.csv", 0, "Gas", "J", 7.0), ("b.csv", 1, "Gas", "J", 8.0)]
+
+
+def test_results_use_an_items_own_metadata(spark, tmp_path):
+    (tmp_path / "1.json").write_text('[{"question_id": "q", "v": 1, "metadata": {"level": "own"}}]')
+    (tmp_path / "2.json").write_text('{"results": [{"question_id": "q", "v": 2}], "misc_question_metadata": [{"level": "misc"}]}')
+    d = readers.read_results(spark, str(tmp_path), "struct<question_id: string, v: int>", "struct<level: string>")
+    assert sorted((r.question_id, r.v, r.metadata.level) for r in d.collect()) == [("q", 1, "own"), ("q", 2, "misc")]

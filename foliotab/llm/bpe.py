@@ -29,7 +29,7 @@ UNLIKE = [
 ]
 
 FIRST_UNLIKE = chr(UNLIKE[0][0])
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES = 250_000
 
 
 class Irregular(Exception):

@@ -41,7 +41,7 @@ def grams(points: np.ndarray) -> np.ndarray:
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, code points, offsets) of slices of the column."""
     sizes = pc.binary_length(pc.fill_null(column, "")).to_numpy(zero_copy_only=False).astype(np.int64)
-    for at, to in slices(np.concatenate([[0], np.cumsum(sizes)]), 4 << 20):
+    for at, to in slices(np.concatenate([[0], np.cumsum(sizes)]), 2 << 20):
         points, offsets = letters(column.slice(at, to - at))
         yield at, points, offsets
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
 LONG_WORD = 64
 
 LOWER = np.arange(256, dtype=np.uint8)

@@ -19,7 +19,8 @@ SKETCH = 256
 WEIGHTS = 1 << 16
 #: Share of a sketch that two linked sketches hold in common; four standard deviations below what the bound implies.
 COMMON = 0.70
-#: Sign bits of 64 that two linked documents share, and union-sketch estimate; both over four standard deviations below.
+#: Sign bits of 64 that two linked documents share where a set is larger than its sketch, and union-sketch estimate; both over
+#: four standard deviations below. Signs are of full sets: sketches of sets of unlike size cover unlike ranges of values.
 SIGNS = 47
 SLACK = 0.15
 
@@ -49,23 +50,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
 
     Equal sets are made one class first. Each class keeps the ``sketch`` smallest values of its set, and posts the rarest
     of them, as many as any linked document must share one of; rarity comes from counts of values by their last 16 bits.
-    Lists are compared by ``linked_groups``; pairs whose sizes, prefix positions or sign bits rule a link out go first,
+    Lists are compared by ``linked_groups``; pairs whose sizes, prefix positions or sign bits (of the full sets) rule a link out go first,
     then those whose union sketch estimates less than the threshold by ``SLACK``, and full sets decide. Below the
-    sketch size sketches are the full sets, so nothing can be lost; above, a pair at the threshold is lost with a
-    probability of about 1e-4, one at 0.85 about 1e-8.
+    sketch size sketches are the full sets and signs are not asked, so nothing can be lost; above, the sign test loses a pair
+    at the threshold of 0.8 with a probability of about 4e-5, one at 0.85 7e-7 (binomial), and the sketch's margins
+    are four standard deviations or more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut_lineage(rows.mapInArrow(_signatures(size, sketch), "doc_id long, n int, hi long, lo long, sketch binary"))
+    found = cut_lineage(rows.mapInArrow(_signatures(size, sketch), "doc_id long, n int, hi long, lo long, sketch binary, signs long"))
     real = found.where("n > 0 and doc_id is not null")
     classes = cut_lineage(real.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node")))
     # Rows that no copy's bit marks are their class's first; only the few others need a look-up.
-    named = real.withColumnRenamed("doc_id", "node").select("hi", "lo", "n", "node", "sketch", slot(F.col("node")).alias("slot"))
+    named = real.withColumnRenamed("doc_id", "node").select("hi", "lo", "n", "node", "sketch", "signs", slot(F.col("node")).alias("slot"))
     copies = real.select("hi", "lo", "n", F.col("doc_id").alias("node")).join(classes, ["hi", "lo", "n", "node"], "left_anti")
     marks = bitmap(copies, slot(F.col("node")))
-    shape = "hi long, lo long, n int, node long, sketch binary"
+    shape = "hi long, lo long, n int, node long, sketch binary, signs long"
     looked_up = named.mapInArrow(_by_mark(marks, True), shape).join(classes, ["hi", "lo", "n", "node"], "left_semi")
     looked_up = cut_lineage(looked_up.dropDuplicates(["hi", "lo", "n", "node"]))
-    reps = named.mapInArrow(_by_mark(marks, False), shape).unionByName(looked_up).select("node", "n", "sketch")
+    reps = named.mapInArrow(_by_mark(marks, False), shape).unionByName(looked_up).select("node", "n", "sketch", "signs")
 
     weights = np.zeros(WEIGHTS, np.int64)
     for row in reps.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -79,7 +81,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
     def near(mine, other):
         low, high = F.least(mine("n"), other("n")), F.greatest(mine("n"), other("n"))
         fits = (mine("n") <= other("upto")) & (other("n") <= mine("upto")) & (1000 * low <= F.least(mine("ratio"), other("ratio")) * high)
-        return fits & (F.bit_count(mine("signs").bitwiseXOR(other("signs"))) <= 64 - SIGNS)
+        return fits & ((high <= sketch) | (F.bit_count(mine("signs").bitwiseXOR(other("signs"))) <= 64 - SIGNS))
 
     full: list[DataFrame] = []  # sets of the nodes asked for so far
 
@@ -104,13 +106,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
 def _signatures(size: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hi, lo, low = [], [], [], []
+            n, hi, lo, low, bits = [], [], [], [], []
             for values in shingle_sets(batch.column(1), size):
                 n.append(len(values))
                 hi.append(int(np.add.reduce(values, dtype=np.uint64).view(np.int64)))
                 lo.append(int(np.bitwise_xor.reduce(mix(values), initial=np.uint64(0)).view(np.int64)))
                 low.append(values[:sketch].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch"])
+                bits.append(signs(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.binary()), pa.array(bits, pa.int64())], names=["doc_id", "n", "hi", "lo", "sketch", "signs"])
 
     return run
 
@@ -127,8 +130,8 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _by_mark(marks: bytes, wanted: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = marked(marks, batch.column(5).to_numpy())
-            yield batch.filter(pa.array(hit == wanted)).select([0, 1, 2, 3, 4])
+            hit = marked(marks, batch.column(6).to_numpy())
+            yield batch.filter(pa.array(hit == wanted)).select([0, 1, 2, 3, 4, 5])
 
     return run
 
@@ -145,7 +148,7 @@ def _postings(weights: np.ndarray, sketch: int, threshold: float, marks: bytes |
         chance = 4.5 * np.sqrt(sketch * threshold * (1 - threshold))
         for batch in batches:
             out: list[list[np.ndarray]] = [[], []] if marks is None else [[], [], [], [], [], [], []]
-            for node, n, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, n, raw, sign in zip(*(c.to_pylist() for c in batch.columns)):
                 values = np.frombuffer(raw, np.uint64)
                 weight = weights[(values & np.uint64(WEIGHTS - 1)).astype(np.int64)]
                 take = prefix_length(len(values), sketch, threshold)
@@ -165,7 +168,7 @@ def _postings(weights: np.ndarray, sketch: int, threshold: float, marks: bytes |
                     else:
                         upto = np.full(len(keys), np.floor(n / threshold + 1e-9))
                         ratio = np.clip(np.ceil(1000 * ((left + chance) / (threshold / (1 + threshold) * len(values)) - 1)), 0, 1000)
-                    columns = (keys, np.full(len(keys), node), np.full(len(keys), prio), np.full(len(keys), n), np.minimum(upto, 2**31 - 1), ratio, np.full(len(keys), signs(values)))
+                    columns = (keys, np.full(len(keys), node), np.full(len(keys), prio), np.full(len(keys), n), np.minimum(upto, 2**31 - 1), ratio, np.full(len(keys), sign))
                 for column, x in zip(out, columns):
                     column.append(x)
             if out[0]:

@@ -1,4 +1,4 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes."""
+"""Toxicity by nearest labelled examples: TF-IDF cosine over marker features, exact by a block-max index, distance-weighted votes."""
 
 from __future__ import annotations
 

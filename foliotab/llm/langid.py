@@ -15,7 +15,6 @@ from foliotab.llm.words import mix, slices
 BUCKETS = 1 << 17
 WINDOW = 40
 ROUNDS = 8
-MOST_SET = 4
 SMOOTH = 0.5
 
 
@@ -87,12 +86,12 @@ def inside(points: np.ndarray) -> np.ndarray:
     return keep
 
 
-def mixtures(like: np.ndarray, heads: np.ndarray, most: int = MOST_SET, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(like: np.ndarray, heads: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Language proportions of each document and the number of languages chosen.
 
     ``like`` has the log-likelihood of each window of text under each language, ``heads`` the first window of each
     document. Expectation-maximisation finds the proportions under which the windows are likeliest; it is run for the
-    best 1, 2, ... languages, and of these sets the one with the best likelihood less half the logarithm of the number of
+    best 1, 2, ... and up to all languages, and of these sets the one with the best likelihood less half the logarithm of the number of
     windows for each further language is chosen.
     """
     windows = np.diff(np.append(heads, len(like)))
@@ -117,7 +116,7 @@ def mixtures(like: np.ndarray, heads: np.ndarray, most: int = MOST_SET, rounds:
     best = np.zeros((len(heads), n), np.float32)
     best[np.arange(len(heads)), order[:, 0]] = 1
     score, chosen = alone.max(1), np.ones(len(heads), np.int64)
-    for size in range(2, min(most, n) + 1):
+    for size in range(2, n + 1):
         start = np.zeros((len(heads), n), np.float32)
         np.put_along_axis(start, order[:, :size], 1 / size, axis=1)
         share, fit_ = em(start)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliotab.llm import ann, decontaminate, langid, linedup, neardup, packing, secrets, sharding, token_counts, toxicity
+from foliotab.llm import ann, decontaminate, langid, linedup, neardup, packing, resample, secrets, sharding, token_counts, toxicity
 
 SHARDS = sharding.shard_names(64)
 
@@ -70,6 +70,39 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.fuzzy_lines(table(spark, sf_dir, "documents"), flips=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def resampling_sql() -> str:
+    """CRC-32 over the bytes of each distinct word, by its table; all else are sums."""
+    a, z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"unnest(regexp_extract_all(translate(text, '{a}', '{z}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) AS w"
+    return f"""
+        WITH crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+        dw AS (SELECT doc_id, {words} FROM documents), bw AS (SELECT {words} FROM benchmark),
+        vocabulary AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+        hashed AS (
+            SELECT w, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT),
+                lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % {resample.BUCKETS} AS bucket
+            FROM vocabulary, crc),
+        s AS (SELECT bucket, count(*)::DOUBLE AS n FROM dw JOIN hashed USING (w) GROUP BY bucket),
+        t AS (SELECT bucket, count(*)::DOUBLE AS n FROM bw JOIN hashed USING (w) GROUP BY bucket),
+        gain AS (
+            SELECT h.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + {resample.BUCKETS}) / ((coalesce(s.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + {resample.BUCKETS}))))::BIGINT AS g
+            FROM (SELECT DISTINCT bucket FROM hashed) h LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+        summed AS (SELECT doc_id, count(*) AS n, sum(g)::BIGINT AS g FROM dw JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+        scored AS (
+            SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(g, 0) AS weight,
+                coalesce(g, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{resample.SEED}:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+            FROM documents d LEFT JOIN summed USING (doc_id)),
+        placed AS (SELECT *, row_number() OVER (ORDER BY n_features < {resample.MIN_WORDS}, score DESC, doc_id) AS place FROM scored)
+        SELECT doc_id, n_features, weight, score,
+            CASE WHEN n_features >= {resample.MIN_WORDS} AND place <= {resample.PERCENT} * (SELECT count(*) FROM scored WHERE n_features >= {resample.MIN_WORDS}) // 100 THEN place END AS rank
+        FROM placed
+    """
+
+
 def sharding_sql() -> str:
     """The lookup table as a list; 60 bits of the MD5 of the key choose the place."""
     shards = ",".join(map(str, sharding.lookup_table(SHARDS)))
@@ -81,8 +114,8 @@ def sharding_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup, op12_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": sharding_sql()}
+    return {"op7_sharding": sharding_sql(), "op12_resampling": resampling_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliotab.llm import ann, decontaminate, langid, linedup, neardup, packing, resample, secrets, sharding, token_counts, toxicity
+from foliotab.llm import ann, decontaminate, html_text, langid, linedup, neardup, packing, resample, secrets, sharding, token_counts, toxicity
 
 SHARDS = sharding.shard_names(64)
 
@@ -74,6 +74,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def resampling_sql() -> str:
     """CRC-32 over the bytes of each distinct word, by its table; all else are sums."""
     a, z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,7 +118,7 @@ def sharding_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup, op12_resampling)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup, op12_resampling, op13_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:

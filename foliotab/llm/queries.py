@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliotab.llm import ann, decontaminate, html_text, langid, linedup, neardup, packing, resample, secrets, sharding, token_counts, toxicity
+from foliotab.llm import ann, decontaminate, hard_negatives, html_text, langid, linedup, neardup, packing, resample, secrets, sharding, token_counts, toxicity
 
 SHARDS = sharding.shard_names(64)
 
@@ -70,6 +70,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.fuzzy_lines(table(spark, sf_dir, "documents"), flips=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def hard_negatives_sql() -> str:
+    """Every anchor against every row, which SQL bears on a small table."""
+    return """
+        WITH e AS (
+            SELECT DISTINCT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT a.id AS anchor_id, a.label = b.label AS same, b.id, list_dot_product(a.q, b.q)::BIGINT AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
+        pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+        neg AS (
+            SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+            FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+        SELECT * FROM neg WHERE rank <= 5
+    """
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -118,8 +139,8 @@ def sharding_sql() -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup, op12_resampling, op13_main_text)}
+    return {f.__name__: f for f in (op1_decontamination, op2_token_counts, op3_secrets, op4_nearest, op5_languages, op6_packing, op7_sharding, op8_toxicity, op9_near_duplicates, op10_line_dedup, op11_hard_negatives, op12_resampling, op13_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_sharding": sharding_sql(), "op12_resampling": resampling_sql()}
+    return {"op7_sharding": sharding_sql(), "op11_hard_negatives": hard_negatives_sql(), "op12_resampling": resampling_sql()}

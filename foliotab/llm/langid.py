@@ -19,13 +19,16 @@ SMOOTH = 0.5
 
 
 def letters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased texts, everything that is no letter made one blank, and their offsets."""
+    """Code points of the lower-cased texts, everything that is no letter made one blank, and their offsets.
+
+    Each text has a blank of its own before and after it, so that no sequence reaches into another text.
+    """
     low = pc.utf8_lower(pc.fill_null(column, ""))
     spaced = pc.replace_substring_regex(low, r"\PL+", " ")
-    raw = " ".join(spaced.to_pylist())
+    raw = "".join(f" {text} " for text in spaced.to_pylist())
     points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = pc.utf8_length(spaced).to_numpy(zero_copy_only=False).astype(np.int64)
-    return points, np.concatenate([[0], np.cumsum(sizes + 1)])
+    return points, np.concatenate([[0], np.cumsum(sizes + 2)])
 
 
 def grams(points: np.ndarray) -> np.ndarray:
@@ -79,7 +82,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inside(points: np.ndarray) -> np.ndarray:
-    """Places whose three code points hold a letter in the middle, so that no sequence joins two texts' letters."""
+    """Places whose three code points hold a letter in the middle: the place is in the text of that letter."""
     letter = points != 32
     keep = np.zeros(len(points), bool)
     keep[: max(0, len(points) - 2)] = letter[1:-1]

@@ -1,218 +1,168 @@
 """Tokens, sentences and the location of quotes in their source text.
 
-Token arrays stay on the document row: no shuffle until quotes are joined to their document by key.
+Tokens are rows made by built-in functions. Quotes meet their document once: a row holds one text and a bounded part of its
+quotes, and a task indexes the text once for all of them.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import bound, norm_token
-from ..session import ship_by_value
+from ..functions import quotes as kernel
+from ..functions import tokens as token_module
+from ..functions.tokens import ROW, token_rows
+from ..session import cut_lineage, ship_by_value
 
-ship_by_value(__name__)
+for _module in (__name__, kernel.__name__, token_module.__name__):
+    ship_by_value(_module)
 
-# Token classes and abbreviations that do not end a sentence.
-SLASHED = r"[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+"
-LETTERS = r"[A-Za-z]+"
-DIGITS = r"[0-9]+"
-SYMBOLS = r"[^A-Za-z0-9\s]+"
+# Abbreviations that do not end a sentence.
 ABBREVIATIONS = ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St."]
 
-_TOKEN = re.compile(f"(?P<ACRONYM>{SLASHED})|(?P<WORD>{LETTERS})|(?P<NUMBER>{DIGITS})|(?P<PUNCTUATION>{SYMBOLS})")
-TOKENS = "array<struct<text: string, type: string, start: int, end: int, after_newline: boolean>>"
+EXACT, LESSER, FUZZY = "MATCH_EXACT", "MATCH_LESSER", "MATCH_FUZZY"
+#: Quotes of one document that a row holds, about; more quotes take more rows.
+PART = 4_096
 
 
-def tokens(text: Column) -> Column:
-    """Tokens with character offsets. Regex offsets have no column form, so this one runs on Arrow batches.
+def tokenize(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
+    """(…, __row, idx, token, type, start, end, after_newline, gap), one row per token; see ``functions.tokens``.
 
-    Spark is not told that the function is deterministic: else a filter on the tokens runs it once more, below the filter.
+    ``keep`` names the columns that go along, by default all but the text.
     """
-    return F.arrow_udf(_token_arrays, TOKENS).asNondeterministic()(text)
-
-
-def _token_arrays(texts: pa.Array) -> pa.Array:
-    """One flat array per token attribute and the list offsets of each text."""
-    words, kinds, starts, ends, fresh, offsets, missing = [], [], [], [], [], [0], []
-    for text in texts.to_pylist():
-        missing.append(text is None)
-        end, first = 0, True
-        for m in _TOKEN.finditer(text or ""):
-            a, b = m.span()
-            fresh.append(not first and a > end and "\n" in text[end:a])
-            words.append(m.group())
-            kinds.append(m.lastgroup)
-            starts.append(a)
-            ends.append(b)
-            end, first = b, False
-        offsets.append(len(words))
-    cols = [pa.array(words, pa.string()), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(fresh, pa.bool_())]
-    items = pa.StructArray.from_arrays(cols, names=["text", "type", "start", "end", "after_newline"])
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, mask=pa.array(missing, pa.bool_()))
+    return token_rows(docs, [c for c in docs.columns if c != text] if keep is None else keep, text)
 
 
-def tokenize(docs: DataFrame, text: str = "text", name: str = "tokens") -> DataFrame:
-    return docs.withColumn(name, tokens(F.col(text)))
+TOKEN_COLUMNS = [ROW, "idx", "token", "type", "start", "end", "after_newline", "gap"]
 
 
-def sentences(docs: DataFrame, toks: str = "tokens") -> DataFrame:
-    """(…, sentence, first, last): token interval of each sentence, end exclusive.
+def sentences(tokens: DataFrame) -> DataFrame:
+    """(…, sentence, first, last, start, end, text): token interval of each sentence, ends exclusive, and its text.
 
     A sentence ends at a token that ends in . ? or ! unless it completes a known abbreviation, and before a
-    capitalised token on a new line.
+    capitalised token on a new line. The tokens of a text are together already, so this shuffles nothing.
     """
-
-    def body(ts):
-        n = F.size(ts)
-        text = lambda i: F.get(ts, i)["text"]
-        stop = lambda i: (F.get(ts, i)["type"] == "PUNCTUATION") & text(i).rlike("[.?!]$")
-        known = lambda i: F.coalesce(F.concat(text(i - 1), text(i)).isin(ABBREVIATIONS), F.lit(False))
-        capital = lambda i: F.coalesce(F.get(ts, i + 1)["after_newline"] & text(i + 1).rlike(r"^\p{Lu}"), F.lit(False))
-        ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (stop(i) & ~known(i)) | capital(i) | (i == n - 1))
-        spans = lambda es: F.transform(es, lambda e, k: F.struct(F.coalesce(F.get(es, k - 1) + 1, F.lit(0)).alias("first"), (e + 1).alias("last")))
-        return bound(ends, spans)
-
-    keep = [c for c in docs.columns if c != toks]
-    rows = docs.filter(F.size(toks) > 0).select(*keep, toks, F.posexplode(bound(F.col(toks), body)).alias("sentence", "s"))
-    return rows.select(*keep, toks, "sentence", "s.first", "s.last")
+    keep = [c for c in tokens.columns if c not in TOKEN_COLUMNS]
+    at = Window.partitionBy(ROW).orderBy("idx")
+    known = F.concat(F.lag("token").over(at), "token").isin(ABBREVIATIONS)
+    stop = (F.col("type") == "PUNCTUATION") & F.substring("token", -1, 1).isin(".", "?", "!") & ~F.coalesce(known, F.lit(False))
+    capital = F.contains(F.lead("gap").over(at), F.lit("\n")) & F.lead("token").over(at).rlike(r"^\p{IsUppercase}")
+    marked = tokens.withColumn("__ends", F.when(stop | F.coalesce(capital, F.lit(False)), 1).otherwise(0))
+    before = F.sum("__ends").over(at.rowsBetween(Window.unboundedPreceding, -1))
+    marked = marked.withColumn("sentence", F.coalesce(before, F.lit(0)).cast("int"))
+    parts = F.array_sort(F.collect_list(F.struct("idx", "gap", "token")))  # of one sentence
+    text = F.array_join(F.transform(parts, lambda t, i: F.when(i == 0, t["token"]).otherwise(F.concat(t["gap"], t["token"]))), "")
+    out = marked.groupBy(ROW, "sentence").agg(
+        *[F.first(c).alias(c) for c in keep], F.min("idx").alias("first"), (F.max("idx") + 1).alias("last"), F.min("start").alias("start"), F.max("end").alias("end"), text.alias("text")
+    )
+    return out.select(*keep, "sentence", "first", "last", "start", "end", "text")
 
 
-def span_text(text: Column, toks: Column, first: Column, last: Column) -> Column:
-    """Text of the token interval [first, last); NULL if the interval is invalid."""
-    ok = (first >= 0) & (last <= F.size(toks)) & (first < last)
-    start, end = F.get(toks, first)["start"], F.get(toks, last - 1)["end"]
-    return F.when(ok, F.substring(text, start + 1, end - start))
+def span_text(intervals: DataFrame, tokens: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = "span") -> DataFrame:
+    """``intervals(key, first, last, …)`` with the text of the token interval [first, last); NULL if the interval is invalid.
 
+    Both ends meet their tokens by (key, place); ``key`` is unique in ``docs``.
+    """
+    ends = tokens.select(key, F.col("idx").alias("__i"), F.col("start").alias("__a"), F.col("end").alias("__b"))
+    first = ends.select(key, F.col("__i").alias("first"), "__a")
+    last = ends.select(key, (F.col("__i") + 1).alias("last"), "__b")
+    out = intervals.join(first, [key, "first"], "left").join(last, [key, "last"], "left").join(docs.select(key, F.col(text).alias("__text")), key, "left")
+    span = F.when(F.col("first") < F.col("last"), F.substring("__text", F.col("__a") + 1, F.col("__b") - F.col("__a")))
+    return out.withColumn(name, span).select(*intervals.columns, name)
 
-def lower_tokens(toks: str | Column) -> Column:
-    return F.transform(toks, lambda x: F.lower(x["text"]))
 
+PLACES = "first_token int, last_token int, start_pos int, end_pos int, span_text string, status string, ratio double"
 
-def stems(toks: str | Column) -> Column:
-    return F.transform(toks, lambda x: norm_token(x["text"]))
 
+def _aligned(quotes: DataFrame, docs: DataFrame, key: str, exact: bool, lesser: bool, fuzzy: float | None, part: int = PART) -> DataFrame:
+    """All rows of ``quotes`` with the columns of ``PLACES``.
 
-EXACT, LESSER, FUZZY = "MATCH_EXACT", "MATCH_LESSER", "MATCH_FUZZY"
+    Equal rows are looked up once and repeated at the end, so a part holds about ``part`` rows even if most are equal.
+    """
+    columns = quotes.columns
+    rows = cut_lineage(quotes.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n")))  # read three times
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("__parts"))
+    at = rows.join(parts, rows[key].eqNullSafe(parts[key])).drop(parts[key]).withColumn("__part", F.pmod(F.xxhash64(*columns), "__parts").cast("int"))
+    held = at.groupBy(key, "__part").agg(F.collect_list(F.struct(*columns, "__n")).alias("__quotes"))
+    texts = docs.select(key, F.col("text").alias("__text")).join(parts, key).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    # the work is far larger than the bytes, by which Spark would merge partitions: their number is given
+    spark = docs.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = held.join(texts, [key, "__part"], "left").repartition(tasks, key, "__part").select("__text", "__quotes")
+    schema = T.StructType([*quotes.schema.fields, *T._parse_datatype_string(PLACES).fields])
+    return met.mapInArrow(_located(columns.index("quote"), exact, lesser, fuzzy), schema)
+
+
+def _located(quote: int, exact: bool, lesser: bool, fuzzy: float | None):
+    def place(text: kernel.Text, words: list[str]) -> tuple:
+        if exact:
+            first = text.exact(words)
+            if first is not None:
+                return first, len(words), EXACT, 1.0
+            if lesser and (found := text.longest_prefix(words)):
+                return *found, LESSER, found[1] / len(words)
+        if fuzzy is not None and (window := text.fuzzy(words, fuzzy)):
+            return window[0], window[1], FUZZY, round(window[2] / len(words), 6)
+        return None, 0, None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64()]
+        for batch in batches:
+            held = batch.column(1).flatten()
+            said = held.field(quote).to_pylist()
+            out: list[tuple] = []
+            at = 0
+            for source, size in zip(batch.column(0), batch.column(1).value_lengths().to_pylist()):
+                text = kernel.Text(source.as_py() or "")
+                seen: dict[str, tuple] = {}
+                for q in said[at : at + size]:
+                    row = seen.get(q)
+                    if row is None:
+                        first, width, status, ratio = place(text, kernel.split(q or ""))
+                        row = (None,) * 7
+                        if first is not None:
+                            start, end = text.spans[first][0], text.spans[first + width - 1][1]
+                            row = (first, first + width, start, end, text.text[start:end], status, ratio)
+                        seen[q] = row
+                    out.append(row)
+                at += size
+            columns = list(zip(*out)) if out else [()] * 7
+            own = held.type.num_fields - 1
+            arrays = [held.field(k) for k in range(own)] + [pa.array(v, k) for v, k in zip(columns, kinds)]
+            names = [held.type.field(k).name for k in range(own)]
+            found = pa.RecordBatch.from_arrays(arrays, names=[*names, *[f.split()[0] for f in PLACES.split(", ")]])
+            copies = held.field(own).to_numpy()
+            yield found
+            for again in range(1, int(copies.max(initial=1))):
+                yield found.take(pa.array((copies > again).nonzero()[0]))
+
+    return run
 
 
 def align_exact(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", accept_lesser: bool = False) -> DataFrame:
     """First place of each quote's token sequence in its document; NULLs and no status if there is none.
 
-    ``quotes(key, quote_id, quote)``, ``docs(key, text, tokens)``. Each quote is looked up on its own. With
+    ``quotes(key, quote, …)``, ``docs(key, text)``. Each quote is looked up on its own. With
     ``accept_lesser`` the longest prefix of the quote that occurs (at its first place) is taken instead.
     """
-    q = tokenize(quotes, "quote", "__q").withColumn("__q", lower_tokens("__q"))
-    j = q.join(docs.select(key, "text", "tokens"), key, "left").withColumn("__s", lower_tokens("tokens"))
-
-    def first_place(src, want, n):
-        starts = F.when(F.size(src) >= n, F.sequence(F.lit(0), F.size(src) - n)).otherwise(F.array().cast("array<int>"))
-        fits = lambda i: (F.get(src, i) == F.get(want, F.lit(0))) & (F.slice(src, i + 1, n) == F.slice(want, F.lit(1), n))
-        return F.get(F.filter(starts, fits), F.lit(0))
-
-    place = bound(F.struct(F.col("__s").alias("s"), F.col("__q").alias("q")), lambda x: first_place(x["s"], x["q"], F.size(x["q"])))
-    j = j.withColumn("__i", F.when(F.size("__q") > 0, place)).withColumn("__n", F.when(F.col("__i").isNotNull(), F.size("__q")))
-    status = F.when(F.col("__i").isNotNull(), EXACT)
-    if accept_lesser:
-        same = lambda src, want, i: F.size(F.filter(F.sequence(F.lit(1), F.size(want)), lambda n: F.slice(src, i + 1, n) == F.slice(want, F.lit(1), n)))
-
-        def best(x):
-            starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(x["s"]) - 1, F.lit(0))), lambda i: F.get(x["s"], i) == F.get(x["q"], F.lit(0)))
-            runs = F.transform(starts, lambda i: F.struct(same(x["s"], x["q"], i).alias("n"), (-i).alias("i")))
-            return F.array_max(runs)
-
-        run = F.when(F.col("__i").isNull() & (F.size("__q") > 0), bound(F.struct(F.col("__s").alias("s"), F.col("__q").alias("q")), best))
-        j = j.withColumn("__r", run)
-        status = F.when(F.col("__i").isNotNull(), EXACT).when(F.col("__r.n") > 0, LESSER)
-        j = j.withColumns({"status": status, "__i": F.coalesce("__i", -F.col("__r.i")), "__n": F.coalesce("__n", F.col("__r.n"))}).drop("__r")
-    else:
-        j = j.withColumn("status", status)
-    return _located(j, quotes.columns)
-
-
-def _located(j: DataFrame, columns) -> DataFrame:
-    first, last = F.col("__i"), F.col("__i") + F.col("__n")
-    start, end = F.get("tokens", first)["start"], F.get("tokens", last - 1)["end"]
-    return j.select(
-        *columns, first.alias("first_token"), last.alias("last_token"), start.alias("start_pos"), end.alias("end_pos"), F.substring("text", start + 1, end - start).alias("span_text"), "status"
-    )
-
-
-def _best_windows(source: pd.Series, quote: pd.Series, least: pd.Series) -> pd.DataFrame:
-    rows = [best_window(list(s), list(q), int(k)) for s, q, k in zip(source, quote, least)]
-    out = pd.DataFrame(rows, columns=["first", "size", "matched"])
-    return out.astype("Int32")
-
-
-def best_window(source: list, quote: list, least: int) -> tuple:
-    """Smallest, then earliest window with as many quote tokens in order as any window has.
-
-    Two values per quote position: how many tokens are matched so far and the latest start that allows it. One
-    pass over the source, one vector step per source token that occurs in the quote.
-    """
-    m, n = len(quote), len(source)
-    if not m or m > n:
-        return (None, None, None)
-    q = np.array(quote, dtype=object)
-    at = {w: (q == w) for w in set(quote)}
-    big = n + 1
-    state = np.zeros(m + 1, dtype=np.int64)  # matched * big + start
-    best = (0, 0, 0)  # matched, -size, -start
-    for i, w in enumerate(source):
-        hit = at.get(w)
-        if hit is None:
-            continue
-        prev = state[:-1]
-        grown = np.where(hit, np.where(prev < big, big + i, prev + big), 0)
-        state[1:] = np.maximum.accumulate(np.maximum(state[1:], grown))
-        matched, start = divmod(int(state[-1]), big)
-        size = max(i - start + 1, m)
-        begin = start if i - start + 1 >= m else max(0, i - m + 1)
-        if begin + size > n:
-            begin = n - size
-        best = max(best, (matched, -size, -begin))
-    matched, size, begin = best
-    return (-begin, -size, matched) if matched >= least else (None, None, None)
+    return _aligned(quotes, docs, key, True, accept_lesser, None).drop("ratio")
 
 
 def align_fuzzy(quotes: DataFrame, docs: DataFrame, key: str = "doc_id", threshold: float = 0.75) -> DataFrame:
-    """Window of the document that holds the largest share of the quote's stemmed tokens in order, if >= threshold.
+    """Window of the document whose matching blocks hold ``threshold`` of the quote's stemmed tokens; quotes without one go.
 
-    Pairs whose common stems cannot reach the threshold never get to the Python step.
+    Matching blocks are the longest common run and, left and right of it, the same again. A quote is placed if any window
+    of the document has that share. ``ratio`` is the window's share.
     """
-    q = tokenize(quotes, "quote", "__q").withColumn("__q", stems("__q"))
-    j = q.join(docs.select(key, "text", "tokens"), key).withColumn("__s", stems("tokens"))
-    count = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    shared = F.aggregate(
-        F.array_intersect("__q", "__s"), F.lit(0), lambda a, w: a + F.least(count(F.col("__q"), w), count(F.col("__s"), w))
-    )
-    need = F.ceil(F.size("__q") * threshold - 1e-9).cast("int")
-    likely = (F.size("__q") > 0) & (F.size("__s") >= F.size("__q")) & (shared >= need)
-    w = F.pandas_udf(_best_windows, "struct<first: int, size: int, matched: int>")("__s", "__q", need)
-    # the windows are the costly part: spread them by quote, as one document may have most of the quotes
-    hit = j.filter(likely).repartition(key, "quote").withColumn("__w", w).filter(F.col("__w.first").isNotNull())
-    hit = hit.withColumns({"__i": F.col("__w.first"), "__n": F.col("__w.size"), "status": F.lit(FUZZY), "ratio": F.round(F.col("__w.matched") / F.size("__q"), 6)})
-    return _located(hit, [*quotes.columns, "ratio"])
+    return _aligned(quotes, docs, key, False, False, threshold).where("status is not null").select(*quotes.columns, "ratio", *[f.split()[0] for f in PLACES.split(", ")[:-1]])
 
 
 def annotate_alignment(cells: DataFrame, docs: DataFrame, key: str = "doc_id", threshold: float = 0.75) -> DataFrame:
     """Per cell and quote: offsets, span text and status; exact first, fuzzy for the rest, NULLs for neither."""
     ids = [c for c in cells.columns if c != "quote"]
     q = cells.select(*ids, F.posexplode_outer("quote").alias("quote_idx", "quote"))
-    exact = align_exact(q, docs, key)
-    left = exact.filter("status is null").select(*q.columns)
-    fuzzy = align_fuzzy(left.filter("quote is not null"), docs, key, threshold).drop("ratio")
-    on = [*ids, "quote_idx"]
-    marks = [c for c in exact.columns if c not in q.columns]
-    f = fuzzy.select(*[F.col(c).alias(f"__k_{c}") for c in on], *[F.col(c).alias(f"__f_{c}") for c in marks])
-    cond = None
-    for c in on:
-        e = F.col(c).eqNullSafe(F.col(f"__k_{c}"))
-        cond = e if cond is None else cond & e
-    out = exact.join(f, cond, "left")
-    return out.select(*q.columns, *[F.coalesce(F.col(c), F.col(f"__f_{c}")).alias(c) for c in marks])
+    return _aligned(q, docs, key, True, False, threshold).drop("ratio")

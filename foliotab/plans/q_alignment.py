@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.text import norm_token
 from ..operators import alignment as A
 from ..operators import vectors as V
+from ..session import cut_lineage
 from .registry import query
 
 WS = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -15,22 +16,21 @@ offs as (select doc_id, i, t, cast(coalesce(sum(length(t)) over (partition by do
   regexp_matches(t, '^{WS}') as gap, lag(t) over (partition by doc_id order by i) as before from pieces),
 toks as (select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as idx, t as token, start, cast(start + length(t) as int) as "end",
   case when regexp_full_match(t, '[0-9]+') then 'NUMBER' when contains(t, '/') and regexp_full_match(t, '[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+') then 'ACRONYM' when regexp_full_match(t, '[A-Za-z]+') then 'WORD' else 'PUNCTUATION' end as type,
-  coalesce(contains(before, chr(10)), false) and row_number() over (partition by doc_id order by i) > 1 as after_newline from offs where not gap)
+  coalesce(regexp_matches(before, '[\n\r]') and regexp_matches(before, '^{WS}'), false) and row_number() over (partition by doc_id order by i) > 1 as after_newline, coalesce(contains(before, chr(10)), false) as feed from offs where not gap)
 """
 
 
-def docs(t):
-    return A.tokenize(t.documents.select("doc_id", "text"))
+def toks(t):
+    return A.tokenize(t.documents, "text", ["doc_id"])
 
 
 @query("c19_tokenize", PIECES + 'select doc_id, idx, md5(token) as token, type, start, "end", after_newline from toks')
 def _(t):
-    d = docs(t).select("doc_id", F.posexplode("tokens").alias("idx", "k"))
-    return d.select("doc_id", "idx", F.md5("k.text").alias("token"), "k.type", "k.start", "k.end", "k.after_newline")
+    return toks(t).select("doc_id", "idx", F.md5("token").alias("token"), "type", "start", "end", "after_newline")
 
 
 SENT = PIECES + """
-, f as (select *, lag(token) over w as prev, lead(token) over w as next, lead(after_newline) over w as next_nl from toks window w as (partition by doc_id order by idx)),
+, f as (select *, lag(token) over w as prev, lead(token) over w as next, lead(feed) over w as next_nl from toks window w as (partition by doc_id order by idx)),
 e as (select *, (type = 'PUNCTUATION' and regexp_matches(token, '[.?!]$') and not coalesce(prev || token in ('Mr.', 'Mrs.', 'Ms.', 'Dr.', 'Prof.', 'St.'), false)) or coalesce(next_nl and regexp_matches(next, '^\\p{Lu}'), false) as is_end from f),
 s as (select *, coalesce(sum(case when is_end then 1 else 0 end) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), 0) as sentence from e),
 g as (select doc_id, cast(sentence as int) as sentence, min(idx) as first, max(idx) + 1 as last, min(start) as a, max("end") as b from s group by doc_id, sentence)
@@ -39,58 +39,61 @@ g as (select doc_id, cast(sentence as int) as sentence, min(idx) as first, max(i
 
 @query("c20_sentences", SENT + 'select doc_id, sentence, first, cast(last as int) as last from g')
 def _(t):
-    return A.sentences(docs(t)).select("doc_id", "sentence", "first", "last")
+    return A.sentences(toks(t)).select("doc_id", "sentence", "first", "last")
 
 
 @query("c21_span_text", SENT + """
-select doc_id, sentence, md5(substring(text, a + 1, b - a)) as span, cast(null as varchar) as invalid from g join documents using (doc_id)""")
+select doc_id, sentence, md5(substring(text, a + 1, b - a)) as span, md5(substring(text, a + 1, b - a)) as sentence_text, cast(null as varchar) as invalid from g join documents using (doc_id)""")
 def _(t):
-    s = A.sentences(docs(t))
-    bad = A.span_text(F.col("text"), F.col("tokens"), F.col("last"), F.col("first"))
-    return s.select("doc_id", "sentence", F.md5(A.span_text(F.col("text"), F.col("tokens"), F.col("first"), F.col("last"))).alias("span"), bad.alias("invalid"))
+    tokens = cut_lineage(toks(t))
+    s = A.sentences(tokens).select("doc_id", "sentence", "first", "last", "text")
+    turned = s.select("doc_id", "sentence", F.col("last").alias("first"), F.col("first").alias("last"), F.lit(None).cast("string").alias("text"))
+    spans = A.span_text(s.withColumn("valid", F.lit(True)).unionByName(turned.withColumn("valid", F.lit(False))), tokens, t.documents)
+    both = spans.groupBy("doc_id", "sentence").agg(F.max(F.when(F.col("valid"), F.md5("span"))).alias("span"), F.max(F.md5("text")).alias("sentence_text"), F.max(F.when(~F.col("valid"), F.col("span"))).alias("invalid"))
+    return both
 
 
 @query("c22_norm_token", PIECES + """
 select stem, cast(count(*) as bigint) as n, cast(count(distinct doc_id) as bigint) as documents from (
   select doc_id, case when length(token) > 3 and lower(token) like '%s' and lower(token) not like '%ss' then lower(token)[1:length(token) - 1] else lower(token) end as stem from toks where type <> 'PUNCTUATION') group by stem""")
 def _(t):
-    d = docs(t).select("doc_id", F.explode("tokens").alias("k")).filter("k.type <> 'PUNCTUATION'")
-    return d.groupBy(norm_token(F.col("k.text")).alias("stem")).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
+    d = toks(t).where("type <> 'PUNCTUATION'").select("doc_id", norm_token(F.col("token")).alias("stem"))
+    return d.groupBy("stem").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
 def quotes(t):
-    """Each document quotes its own sentences 3, 10 and its last; every second quote is spoilt by a foreign word in front."""
-    s = A.sentences(docs(t))
-    last = s.groupBy("doc_id").agg(F.max("sentence").alias("m"))
-    s = s.join(last, "doc_id").filter("sentence in (3, 10) or sentence = m")
-    q = A.span_text(F.col("text"), F.col("tokens"), F.col("first"), F.col("last"))
-    q = F.when(F.col("doc_id") % 2 == 0, F.translate(q, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(F.concat(F.lit("Zzyzx "), q))
-    return s.select("doc_id", F.col("sentence").alias("quote_id"), q.alias("quote"))
+    """Each document quotes all its sentences: in capitals, or spoilt by a foreign word in front, inside or behind."""
+    s = A.sentences(toks(t))
+    capitals = F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    where = F.col("sentence") % 3
+    inside = (where == 2) & F.col("text").rlike(r"^\S+\s")
+    spoilt = F.when(inside, F.regexp_replace("text", r"^(\S+)\s", "$1 Zzyzx ")).when(where == 1, F.concat("text", F.lit(" Zzyzx"))).otherwise(F.concat(F.lit("Zzyzx "), "text"))
+    return s.select("doc_id", F.col("sentence").alias("quote_id"), F.when(F.col("doc_id") % 2 == 0, capitals).otherwise(spoilt).alias("quote"))
 
 
 @query("c23_align_exact", SENT + """
-, m as (select doc_id, max(sentence) as m from g group by doc_id), q as (select g.* from g join m using (doc_id) where sentence in (3, 10) or sentence = m),
-low as (select doc_id, idx, lower(token) as w0, lower(token) as w, start, "end" from toks),
-qt as (select q.doc_id, q.sentence, list(w0 order by idx) as ws from q join low on low.doc_id = q.doc_id and idx >= first and idx < last group by q.doc_id, q.sentence),
-src as (select doc_id, list(w order by idx) as ws, list(start order by idx) as ss, list("end" order by idx) as es from low group by doc_id),
-hit as (select qt.doc_id, qt.sentence, len(qt.ws) as n, list_filter(range(1, len(src.ws) - len(qt.ws) + 2), lambda i: src.ws[i] = qt.ws[1] and src.ws[i:i + len(qt.ws) - 1] = qt.ws)[1] as i, ss, es from qt join src using (doc_id) where doc_id % 2 = 0)
-select q.doc_id, q.sentence as quote_id, cast(i - 1 as int) as first_token, cast(i - 1 + n as int) as last_token, ss[i] as start_pos, es[i + n - 1] as end_pos, case when i is not null then 'MATCH_EXACT' end as status
-from q left join hit using (doc_id, sentence)""")
+, low as (select doc_id, idx, lower(token) as w, start, "end" from toks),
+src as (select doc_id, chr(31) || string_agg(w, chr(31) order by idx) || chr(31) as s from low group by doc_id),
+qt as (select g.doc_id, g.sentence, last - first as n, chr(31) || string_agg(w, chr(31) order by idx) || chr(31) as q from g join low on low.doc_id = g.doc_id and idx >= first and idx < last where g.doc_id % 2 = 0 group by g.doc_id, g.sentence, n),
+hit as (select doc_id, sentence, n, length(left(s, instr(s, q))) - length(replace(left(s, instr(s, q)), chr(31), '')) - 1 as i from qt join src using (doc_id) where instr(s, q) > 0)
+select g.doc_id, g.sentence as quote_id, cast(i as int) as first_token, cast(i + n as int) as last_token, a.start as start_pos, z."end" as end_pos, case when i is not null then 'MATCH_EXACT' end as status
+from g left join hit using (doc_id, sentence) left join low a on a.doc_id = hit.doc_id and a.idx = i left join low z on z.doc_id = hit.doc_id and z.idx = i + n - 1""")
 def _(t):
-    a = A.align_exact(quotes(t), docs(t))
+    a = A.align_exact(quotes(t), t.documents)
     return a.select("doc_id", "quote_id", "first_token", "last_token", "start_pos", "end_pos", "status")
 
 
 @query("c24_align_fuzzy")
 def _(t):
-    a = A.align_fuzzy(quotes(t), docs(t))
+    a = A.align_fuzzy(quotes(t), t.documents)
     return a.withColumn("quote", F.md5("quote")).withColumn("span_text", F.md5("span_text"))
 
 
 @query("c25_annotate_alignment")
 def _(t):
-    cells = quotes(t).groupBy("doc_id").agg(F.array_sort(F.collect_list("quote")).alias("quote")).withColumn("field", F.lit("f"))
-    a = A.annotate_alignment(cells, docs(t))
+    q = quotes(t).withColumn("field", F.concat(F.lit("f"), F.col("quote_id") % 7))
+    cells = q.groupBy("doc_id", "field").agg(F.array_sort(F.collect_list("quote")).alias("quote"))
+    a = A.annotate_alignment(cells, t.documents)
     return a.withColumn("quote", F.md5("quote")).withColumn("span_text", F.md5("span_text"))
 
 

@@ -82,11 +82,14 @@ def _(t):
     return H.compact_points(t.events.select("user_id", n.alias("field_idx"), text.alias("value")), ["user_id"])
 
 
-@query("f20_rle_hours", HOURS + """
-, c as (select *, case when value is distinct from lag(value) over w then 1 else 0 end as flag from h window w as (partition by user_id, day order by hour)),
-r as (select *, sum(flag) over (partition by user_id, day order by hour) as run from c),
-u as (select user_id, day, cast(run as int) as seq, max(hour) + 1 as until, any_value(value) as value from r group by all
-  union all select user_id, day, 0, 0, value from h where hour = 0)
+@query("f20_rle_hours", POINTS + """
+, n as (select *, lead(minute) over (partition by user_id, day order by minute) as next_minute, row_number() over (partition by user_id, day order by minute) as k from p),
+spans as (select user_id, day, value, case when k = 1 then 0 else cast(ceil(minute / 60.0) as int) end as first_hour, coalesce(cast(ceil(next_minute / 60.0) as int), 24) as end_hour from n),
+s as (select * from spans where first_hour < end_hour),
+c as (select *, case when value is distinct from lag(value) over w then 1 else 0 end as flag from s window w as (partition by user_id, day order by first_hour)),
+r as (select *, sum(flag) over (partition by user_id, day order by first_hour) as run from c),
+u as (select user_id, day, cast(run as int) as seq, max(end_hour) as until, min(value) as value from r group by user_id, day, run
+  union all select user_id, day, 0, 0, value from s where first_hour = 0)
 select user_id, day, seq, lpad(cast(until as varchar), 2, '0') || ':00' as until, value from u""")
 def _(t):
     return H.rle_hours(H.expand_hours(points(t), KEYS), KEYS)

@@ -8,15 +8,27 @@ from ..streaming import events as H
 from .registry import query
 
 
-FILES = 64
+BATCHES = 8
+FILES = 8
 END = "__end"
 
 
-def source(t, df, order, files=FILES):
-    """The rows as a file stream; files are written in order of the ranges of ``order``."""
-    path = scratch_path(t.spark, "stream")
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+def run(t, df, order, stream, mode, sink=None, batches=BATCHES):
+    """What ``stream`` writes over the rows as they come in ``order``, in many micro-batches.
+
+    After each part of the rows the stream ends and is started again from its checkpoint, so state and watermark are carried.
+    """
+    staged, path, at = (scratch_path(t.spark, name) for name in ("staged", "stream", "run"))
+    ranges = df.repartitionByRange(batches * FILES, order).sortWithinPartitions(order).withColumn("__range", F.spark_partition_id())
+    ranges.write.parquet(staged)
+    rows = t.spark.read.parquet(staged)
+    out = None
+    for b in range(batches):
+        first = b * FILES
+        last = F.lit(True) if b == batches - 1 else F.col("__range") < first + FILES
+        rows.where((F.col("__range") >= first) & last).drop("__range").write.mode("append").parquet(path)
+        out = H.run_available(stream(t.spark.readStream.schema(df.schema).parquet(path)), mode, sink, at)
+    return out
 
 
 def calls(t):
@@ -39,7 +51,7 @@ where s.event_type = 'view'""")
 def _(t):
     """Every start, matched or not."""
     e = closed(calls(t), "ts", (-1, None, END, N.START), (-2, None, END, N.END))
-    out = H.run_available(H.pair_events_stream(source(t, e, "ts")), "append").filter(F.col("request") != END)
+    out = run(t, e, "ts", H.pair_events_stream, "append").filter(F.col("request") != END)
     return out.select("request", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"), "matched")
 
 
@@ -53,7 +65,7 @@ def _(t):
         F.struct(F.lit("clean").alias("tool"), F.lit(None).cast("boolean").alias("correct_bool"), F.when(F.col("toxic") == 0, 100.0).otherwise(10.0).alias("correct_num")),
     )
     s = t.labels.select("doc_id", F.inline(pairs))
-    return H.run_available(H.running_accuracy_stream(source(t, s, "doc_id")), "complete")
+    return run(t, s, "doc_id", H.running_accuracy_stream, "complete")
 
 
 @query("h03_latency_windows", """
@@ -62,7 +74,7 @@ from events group by 1, 2""")
 def _(t):
     """Every window; cents as decimals, so that the sum has one value in any order."""
     e = t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").cast("decimal(18,2)").alias("value"))
-    out = H.run_available(H.latency_windows(source(t, closed(e, "ts", (None, END, 0)), "ts")), "append").filter(F.col("event_type") != END)
+    out = run(t, closed(e, "ts", (None, END, 0)), "ts", H.latency_windows, "append").filter(F.col("event_type") != END)
     return out.select(F.unix_micros("window_start").alias("start_us"), "event_type", "calls", F.col("total").cast("double").alias("total"), F.col("worst").cast("double").alias("worst"))
 
 
@@ -71,5 +83,5 @@ select user_id as run, event_id as line, cast(sum(case when event_type = 'purcha
 def _(t):
     e = t.events.select(F.col("user_id").alias("run"), F.col("event_id").alias("line"), (F.col("event_type") == "purchase").cast("int").alias("marker"))
     sink, out = H.segment_sink(t.spark)
-    H.run_available(source(t, e, "line"), "append", sink)
+    run(t, e, "line", lambda rows: rows, "append", sink)
     return t.spark.read.parquet(out).drop("batch")

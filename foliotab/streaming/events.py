@@ -56,14 +56,16 @@ def segment_sink(spark: SparkSession, key: str = "run", order: str = "line", mar
     return sink, out
 
 
-def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None) -> DataFrame | None:
+def run_available(stream: DataFrame, mode: str, sink: Callable[[DataFrame, int], None] | None = None, at: str | None = None) -> DataFrame | None:
     """Run a stream over what its source holds now and return what it wrote.
 
-    Append output goes to a file sink; complete and update output keep the last batch per id. With a ``sink`` of its own
+    ``at`` is the folder of its state and output; a later run with the same folder goes on where the one before ended, as
+    after a restart. Append output goes to a file sink; complete and update output keep the last batch per id. With a ``sink`` of its own
     nothing is read back.
     """
     spark = stream.sparkSession
-    out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+    at = at or scratch_path(spark, "run")
+    out, ckpt = f"{at}/out", f"{at}/ckpt"
     w = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", ckpt).outputMode(mode)
     if mode == "append" and sink is None:
         q = w.format("parquet").option("path", out).start()

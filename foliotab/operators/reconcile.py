@@ -136,12 +136,6 @@ def drop_full_duplicates(df: DataFrame, row_id: str = ID) -> DataFrame:
     return firsts.select(row_id, *[F.col(f"r.{c}").alias(c) for c in cols]).select(*df.columns)
 
 
-def replace_subset(df: DataFrame, subset: DataFrame, new: DataFrame, row_id: str = ID) -> DataFrame:
-    """``df`` without the rows of ``subset``, plus ``new``; columns are aligned with NULLs."""
-    keep = df.join(subset.select(row_id), row_id, "left_anti")
-    return keep.unionByName(new, allowMissingColumns=True)
-
-
 def dedupe_subset(df: DataFrame, pred: Column, row_id: str = ID) -> DataFrame:
     inside = F.coalesce(pred, F.lit(False))
     return df.filter(~inside).unionByName(drop_full_duplicates(df.filter(inside), row_id))

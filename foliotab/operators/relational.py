@@ -8,7 +8,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.errors import AnalysisException, ParseException
 
 from ..functions.text import empty_test
@@ -167,6 +166,3 @@ def relevant_chunks(chunks: DataFrame, verdicts: DataFrame, keys: Sequence[str],
     yes = verdicts.filter(F.col(flag)).select(*keys).distinct()
     return chunks.join(yes, list(keys), "left_semi")
 
-
-def column_types(df: DataFrame) -> dict[str, T.DataType]:
-    return {f.name: f.dataType for f in df.schema.fields}

@@ -107,7 +107,9 @@ def compact_points(fields: DataFrame, keys: Sequence[str], order: str = "field_i
 
 
 def constant_point(view: DataFrame, ids: Sequence[str], value: str) -> DataFrame:
-    return view.select(*ids, F.lit(0).alias("minute"), F.col(value).cast("string").try_cast("double").alias("value"))
+    """One point for all hours; a missing or empty value is 0, one that is no number NULL."""
+    text = F.coalesce(F.col(value).cast("string"), F.lit(""))
+    return view.select(*ids, F.lit(0).alias("minute"), F.when(text == "", 0.0).otherwise(text.try_cast("double")).alias("value"))
 
 
 def day_points(points: DataFrame, keys: Sequence[str], tie: str | None = None) -> DataFrame:

@@ -109,6 +109,17 @@ def _(t):
     return V.knn(x, x, 8).withColumn("similarity", F.round("similarity", 6))
 
 
+@query("c18_context_text", f"""
+with s as (select a.vec_id as query_id, b.vec_id, {SIM.format(a='a', b='b')} as similarity from embeddings a, embeddings b),
+k as (select *, row_number() over (partition by query_id order by similarity desc, vec_id) as k from s)
+select query_id, md5(string_agg('[' || k || '] ' || text, chr(10) || chr(10) order by k)) as context from k join documents on doc_id = vec_id where k <= 4 and text is not null group by query_id""")
+def _(t):
+    """From ids to neighbours to the text of the documents with the same ids."""
+    x = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    texts = t.documents.where("text is not null").select(F.col("doc_id").alias("vec_id"), "text")
+    return V.context_text(V.knn(x, x, 4).withColumn("similarity", F.round("similarity", 9)), texts).withColumn("context", F.md5("context"))
+
+
 GRAPH = f"""
 with x as (select label as doc, vec_id as id, embedding from embeddings),
 seq as (select doc, id as src, lead(id) over (partition by doc order by id) as dst, 1.0::double as weight, 'sequential' as edge_type from x),

@@ -82,6 +82,15 @@ def _(t):
     return H.compact_points(t.events.select("user_id", n.alias("field_idx"), text.alias("value")), ["user_id"])
 
 
+@query("f18_constant_point", """
+select o_orderkey, 0 as minute, case o_orderkey % 4 when 0 then 0.0 when 1 then 0.0 when 2 then null else cast(o_custkey as double) end as value from orders""")
+def _(t):
+    """Schedules of one value: missing, empty, no number, a number."""
+    k = F.col("o_orderkey") % 4
+    text = F.when(k == 1, "").when(k == 2, "on").when(k == 3, F.col("o_custkey").cast("string"))
+    return H.constant_point(t.orders.select("o_orderkey", text.alias("value")), ["o_orderkey"], "value")
+
+
 @query("f20_rle_hours", POINTS + """
 , n as (select *, lead(minute) over (partition by user_id, day order by minute) as next_minute, row_number() over (partition by user_id, day order by minute) as k from p),
 spans as (select user_id, day, value, case when k = 1 then 0 else cast(ceil(minute / 60.0) as int) end as first_hour, coalesce(cast(ceil(next_minute / 60.0) as int), 24) as end_hour from n),

@@ -202,22 +202,25 @@ def _(t):
 
 
 @query("a14_read_series", """
-with o as (select o_orderkey as k, o_custkey as c, o_totalprice as p, row_number() over (partition by o_orderkey % 2 order by o_orderkey) - 1 as row from orders),
-r as (select k % 2 as kind, row, k, c, p from o)
-select kind, row, 'North, upper:Load' as series, 'W' as unit, c::double as value from r where kind = 0
-union all select kind, row, 'Cost', 'EUR', p from r union all select kind, row, 'Key', '', k::double from r where kind = 1""")
+with o as (select o_orderkey as k, o_custkey as c, o_totalprice as p, o_custkey % 32 as part, row_number() over (partition by o_orderkey % 2, o_custkey % 32 order by o_orderkey) - 1 as row from orders),
+r as (select k % 2 as kind, part, row, k, c, p from o)
+select kind, part, row, 'North, upper:Load' as series, 'W' as unit, c::double as value from r where kind = 0
+union all select kind, part, row, 'Cost', 'EUR', p from r union all select kind, part, row, 'Key', '', k::double from r where kind = 1""")
 def _(t):
-    """Two files of different columns in one folder; one header cell is quoted and holds a comma, some cells are quoted."""
+    """Files of two kinds with different columns, 32 of each; one header cell is quoted and holds a comma, some cells are quoted."""
     path = scratch_path(t.spark, "series")
-    o = t.orders.select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("string").alias("p"))
-    zone = F.concat(F.lit("01/02 03:00:00,"), F.lit('"'), F.col("o_custkey").cast("string"), F.lit('",'), "p")
-    key = F.concat("p", F.lit(",01/02 03:00:00,"), F.col("o_orderkey").cast("string"))
-    for kind, head, body in ((0, 'Time,"North, upper:Load [W](Hourly)",Cost [EUR]', zone), (1, "Cost [EUR],Date/Time,Key", key)):
-        own = o.filter(F.col("o_orderkey") % 2 == kind).select(F.col("o_orderkey").alias("k"), body.alias("value"))
-        top = t.spark.createDataFrame([(-1, head)], "k long, value string")
-        own.unionByName(top).repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(f"{path}/{kind}")  # one file is the case
-    s = series.read_series(t.spark, f"{path}/*")
-    return s.select(F.regexp_extract("file", "/([01])/[^/]*$", 1).cast("bigint").alias("kind"), "row", "series", "unit", "value")
+    kind, part = (F.col("o_orderkey") % 2).alias("kind"), (F.col("o_custkey") % 32).alias("part")
+    price = F.col("o_totalprice").cast("string")
+    zone = F.concat(F.lit("01/02 03:00:00,"), F.lit('"'), F.col("o_custkey").cast("string"), F.lit('",'), price)
+    key = F.concat(price, F.lit(",01/02 03:00:00,"), F.col("o_orderkey").cast("string"))
+    body = t.orders.select(kind, part, F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 2 == 0, zone).otherwise(key).alias("value"))
+    head = F.when(F.col("kind") == 0, 'Time,"North, upper:Load [W](Hourly)",Cost [EUR]').otherwise("Cost [EUR],Date/Time,Key")
+    heads = body.select("kind", "part").distinct().select("kind", "part", F.lit(-1).cast("long").alias("k"), head.alias("value"))
+    files = body.unionByName(heads).repartition("kind", "part").sortWithinPartitions("kind", "part", "k")
+    files.select("kind", "part", "value").write.partitionBy("kind", "part").text(path)
+    s = series.read_series(t.spark, f"{path}/*/*")
+    number = lambda name: F.regexp_extract("file", f"/{name}=([0-9]+)/", 1).cast("bigint").alias(name)
+    return s.select(number("kind"), number("part"), "row", "series", "unit", "value")
 
 
 @query("a14_minutes_of_day", """

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .ordered import top_per_group
 from .text import bound
 
 
@@ -90,23 +94,53 @@ def similar_names(left: DataFrame, a: str, right: DataFrame, b: str, cut: float)
 
     ln, rn = cut_up(ln), cut_up(rn)
 
-    def side(longer: DataFrame, shorter: DataFrame, size: int, strict: bool) -> DataFrame:
-        gs = F.col(f"g{size}")
-        other = shorter.select(F.col("n").alias("short"), gs.alias("grams"), F.explode(gs).alias("g"))
+    def side(longer: DataFrame, shorter: DataFrame, strict: bool) -> DataFrame:
+        both = F.array_distinct(F.concat("g1", "g2"))  # a key's length says which of the two it is
+        other = shorter.select(F.col("n").alias("short"), both.alias("grams"), F.explode(both).alias("g"))
         seen = other.groupBy("g").agg(F.count("*").alias("f"))
-        pick = F.col("strong") if size == 2 else ~F.col("strong")
-        mine = longer.filter(pick).select("n", "d", F.explode(gs).alias("g")).join(seen, "g", "left").fillna({"f": 0})
-        mine = mine.groupBy("n", "d").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("all"))
-        keep = F.when(F.size("all") > size * F.col("d"), size * F.col("d") + 1).otherwise(F.size("all")).cast("int")
+        mine = longer.select("n", "d", F.when(F.col("strong"), 2).otherwise(1).alias("per"), F.explode(F.when(F.col("strong"), F.col("g2")).otherwise(F.col("g1"))).alias("g"))
+        mine = mine.join(seen, "g", "left").fillna({"f": 0}).groupBy("n", "d", "per")
+        mine = mine.agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "g"))), lambda x: x["g"]).alias("all"))
+        keep = F.least(F.size("all"), F.col("per") * F.col("d") + 1).cast("int")
         mine = mine.select(F.col("n").alias("long"), F.slice("all", F.lit(1), keep).alias("prefix"))
         mine = mine.select("long", "prefix", F.posexplode("prefix").alias("at", "g"))
         a, b = F.length("long"), F.length("short")
         fits = ((a > b) if strict else (a >= b)) & (b >= cut * a - 1e-9)
         # a pair that shares several keys is taken at the first of them only
         first = ~F.arrays_overlap(F.slice("prefix", F.lit(1), F.col("at")), F.col("grams"))
-        ratio = 1.0 - F.levenshtein("long", "short") / a
-        return mine.join(other, "g").filter(fits).filter(first).select("long", "short", ratio.alias("similarity")).filter(F.col("similarity") >= cut)
+        limit = F.floor((1.0 - cut) * a + 1e-9).cast("int")
+        met = mine.join(other, "g").filter(fits).filter(first).select("long", "short", F.call_function("levenshtein", "long", "short", limit).alias("edits"))
+        ratio = 1.0 - F.col("edits") / a
+        return met.filter("edits >= 0").select("long", "short", ratio.alias("similarity")).filter(F.col("similarity") >= cut)
 
-    one = side(ln, rn, 2, False).union(side(ln, rn, 1, False)).toDF("left_name", "right_name", "similarity")
-    two = side(rn, ln, 2, True).union(side(rn, ln, 1, True)).toDF("right_name", "left_name", "similarity")
+    one = side(ln, rn, False).toDF("left_name", "right_name", "similarity")
+    two = side(rn, ln, True).toDF("right_name", "left_name", "similarity")
     return one.unionByName(two)
+
+
+#: Similarities at which ``nearest_names`` looks before it goes down to the cut.
+LEVELS = (0.9, 0.8, 0.7)
+
+
+def nearest_names(left: DataFrame, a: str, right: DataFrame, b: str, cut: float, k: int, levels: Sequence[float] = LEVELS) -> DataFrame:
+    """(left_name, right_name, similarity, rank): the k names most alike with edit ratio >= cut, ties by name; exact.
+
+    A tight ratio leaves few grams to meet on, a loose one nearly all. So names look for partners at falling ratios: one
+    that finds k at a ratio needs no looser search, since all that is not found is less alike. Only names with fewer go on,
+    the last of them down to the cut.
+    """
+    todo, out = left.select(F.lower(F.col(a)).alias("n")).filter("n <> ''").distinct(), []
+    right = cut_lineage(right.select(F.lower(F.col(b)).alias("n")).filter("n <> ''").distinct())
+    for level in [x for x in levels if x > cut] + [cut]:
+        near = similar_names(todo, "n", right, "n", level)
+        near = top_per_group(near, ["left_name"], [F.round("similarity", 9).desc(), F.col("right_name")], k)
+        if level == cut:
+            out.append(near)
+            break
+        near = cut_lineage(near)
+        full = near.filter(F.col("rank") == k).select(F.col("left_name").alias("n"))
+        out.append(near.join(full.withColumnRenamed("n", "left_name"), "left_name", "left_semi"))
+        todo = cut_lineage(todo.join(full, "n", "left_anti"))
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, out)

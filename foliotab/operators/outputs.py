@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ordered
-from ..functions.matching import similar_names
+from ..functions.matching import nearest_names
 from ..functions.text import edit_ratio, first_match
-from ..session import cut_lineage
 
 # Ordered keyword rules, reporting frequencies and meter types.
 VARIABLE_RULES = [
@@ -111,11 +110,9 @@ def validate_requests(requests: DataFrame, catalog: DataFrame, level: str = "mod
 def suggestions(names: DataFrame, col: str, catalog: DataFrame, cut: float = 0.6, k: int = 5) -> DataFrame:
     """Up to k catalog names per distinct name, by edit ratio.
 
-    Names meet on shared grams, whatever the size of the catalog; the result is exact.
+    Names meet on shared grams at falling ratios, whatever the size of the catalog; the result is exact.
     """
-    cat = cut_lineage(catalog.select(F.lower("name").alias("name")).filter("name <> ''").distinct())
-    near = similar_names(names, col, cat, "name", cut)
-    top = ordered.top_per_group(near, ["left_name"], [F.round("similarity", 9).desc(), F.col("right_name")], k)
+    top = nearest_names(names, col, catalog, "name", cut, k)
     return top.select(F.col("left_name").alias("name"), F.col("right_name").alias("suggestion"), F.round("similarity", 6).alias("similarity"), "rank")
 
 

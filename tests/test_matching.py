@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from foliotab.functions.matching import contains_join, similar_names
+from foliotab.functions.matching import contains_join, nearest_names, similar_names
 
 
 def edit(a, b):
@@ -28,6 +28,22 @@ def test_similar_names(spark, cut):
     assert len(got) == len(want)
 
 
+@pytest.mark.parametrize("levels", [(), (0.9, 0.8, 0.7)])
+def test_nearest_names(spark, levels):
+    rnd = random.Random(3)
+    base = ["".join(rnd.choice("abcde ") for _ in range(rnd.randrange(4, 16))).strip() + "x" for _ in range(25)]
+    bend = lambda s: "".join(c if rnd.random() > 0.12 else rnd.choice("abz") for c in s)
+    left, right = {bend(x) for x in base} | {"A", "qqqqqqqq"}, {bend(x) for x in base for _ in range(5)} | {"", "a"}
+    df = lambda s, c: spark.createDataFrame([(x,) for x in s] + [(None,)], f"{c} string")
+    got = {(r.left_name, r["rank"]): r.right_name for r in nearest_names(df(left, "l"), "l", df(right, "r"), "r", 0.6, 3, levels).collect()}
+    want = {}
+    for a in left:
+        a = a.lower()
+        scored = sorted((-round(1 - edit(a, b) / max(len(a), len(b)), 9), b) for b in right if b and 1 - edit(a, b) / max(len(a), len(b)) >= 0.6)
+        want |= {(a, i): b for i, (_, b) in enumerate(scored[:3], 1)}
+    assert got == want
+
+
 def test_contains_join(spark):
     rnd = random.Random(2)
     words = ["alpha", "beta", "gam", "d", "Epsilon.", "ze\nta"]

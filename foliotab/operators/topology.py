@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .model_objects import objects_of
 
 # Loop types with their end-node and branch-list fields, and equipment served by a splitter outlet.
@@ -46,40 +47,51 @@ def loops(objects: DataFrame, types: Mapping[str, Sequence[str]] = LOOP_TYPES) -
     return out
 
 
+def numbered_items(objects: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
+    """Numbered fields of objects of the given types up to the first blank: (model, obj_type, name, seq, item)."""
+    n = F.lit(None).cast("int")
+    for kind, pattern in patterns.items():
+        n = F.when(F.col("obj_type") == kind, F.regexp_extract("field_name", pattern, 1).try_cast("int")).otherwise(n)
+    key = ["model", "obj_type", "obj_idx"]
+    o = objects.filter(F.col("obj_type").isin(list(patterns))).select(*key, n.alias("seq"), "field_name", "value")
+    heads = o.groupBy(*key).agg(F.max(F.when(F.col("field_name") == "Name", F.col("value"))).alias("name"), F.min(F.when(F.trim("value") == "", F.col("seq"))).alias("__gap"))
+    items = o.filter("seq is not null").join(heads.filter("name is not null"), key)
+    items = items.filter(F.col("__gap").isNull() | (F.col("seq") < F.col("__gap")))
+    return items.select("model", "obj_type", "name", "seq", F.col("value").alias("item"))
+
+
 def list_items(objects: DataFrame, list_type: str, pattern: str) -> DataFrame:
     """Numbered fields of list objects up to the first blank: (model, list_name, seq, item)."""
-    o = objects.filter(F.col("obj_type") == list_type)
-    name = o.filter("field_name = 'Name'").select("model", "obj_idx", F.col("value").alias("list_name"))
-    n = F.regexp_extract("field_name", pattern, 1).try_cast("int")
-    items = o.withColumn("seq", n).filter("seq is not null").select("model", "obj_idx", "seq", "value")
-    gap = items.groupBy("model", "obj_idx").agg(F.min(F.when(F.trim("value") == "", F.col("seq"))).alias("__gap"))
-    items = items.join(gap, ["model", "obj_idx"]).filter(F.col("__gap").isNull() | (F.col("seq") < F.col("__gap")))
-    return items.join(name, ["model", "obj_idx"]).select("model", "list_name", "seq", F.col("value").alias("item"))
+    return numbered_items(objects, {list_type: pattern}).select("model", F.col("name").alias("list_name"), "seq", "item")
 
 
-def components(objects: DataFrame, owner_type: str, stop_at_blank: bool = True) -> DataFrame:
-    """Component_i_* fields of branches and paths: (model, owner, seq, type, name, inlet, outlet).
+def components(objects: DataFrame, owner_type: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
+    """Component_i_* fields of branches and paths: (model, owner_type, owner, seq, type, name, inlet, outlet).
 
     Fields are spread to rows once, so an object may have any number of components.
     """
-    o = objects.filter(F.col("obj_type") == owner_type)
-    owner = o.filter("field_name = 'Name'").select("model", "obj_idx", F.col("value").alias("owner"))
-    f = o.select("model", "obj_idx", F.regexp_extract("field_name", r"^Component_(\d+)_", 1).try_cast("int").alias("seq"), F.regexp_extract("field_name", r"^Component_\d+_(.+)$", 1).alias("part"), "value")
+    kinds = [owner_type] if isinstance(owner_type, str) else list(owner_type)
+    key = ["model", "obj_type", "obj_idx"]
+    pattern = r"^Component_(\d+)_(.+)$"
+    o = objects.filter(F.col("obj_type").isin(kinds))
+    o = o.select(*key, F.regexp_extract("field_name", pattern, 1).try_cast("int").alias("seq"), F.regexp_extract("field_name", pattern, 2).alias("part"), "field_name", "value")
     pick = lambda p: F.max(F.when(F.col("part") == p, F.col("value")))
-    c = f.filter("seq is not null").groupBy("model", "obj_idx", "seq").agg(
-        pick("Object_Type").alias("type"), pick("Name").alias("name"), pick("Inlet_Node_Name").alias("inlet"), pick("Outlet_Node_Name").alias("outlet")
+    c = o.filter("seq is not null or field_name = 'Name'").groupBy(*key, "seq").agg(
+        pick("Object_Type").alias("type"), pick("Name").alias("name"), pick("Inlet_Node_Name").alias("inlet"), pick("Outlet_Node_Name").alias("outlet"),
+        F.max(F.when(F.col("field_name") == "Name", F.col("value"))).alias("own"),
     )
-    blank = F.coalesce(F.col("type"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("name"), F.lit("")).eqNullSafe("")
+    blank = F.col("seq").isNotNull() & ((F.coalesce("type", F.lit("")) == "") | (F.coalesce("name", F.lit("")) == ""))
+    heads = c.groupBy(*key).agg(F.max("own").alias("owner"), F.min(F.when(blank, F.col("seq"))).alias("__gap")).filter("owner is not null")
+    c = c.filter("seq is not null").join(heads, key)
     if stop_at_blank:
-        gap = c.groupBy("model", "obj_idx").agg(F.min(F.when(blank, F.col("seq"))).alias("__gap"))
-        c = c.join(gap, ["model", "obj_idx"]).filter(F.col("__gap").isNull() | (F.col("seq") < F.col("__gap"))).drop("__gap")
-    return c.join(owner, ["model", "obj_idx"]).select("model", "owner", "seq", "type", "name", "inlet", "outlet")
+        c = c.filter(F.col("__gap").isNull() | (F.col("seq") < F.col("__gap")))
+    return c.select("model", F.col("obj_type").alias("owner_type"), "owner", "seq", "type", "name", "inlet", "outlet")
 
 
 def branches(objects: DataFrame) -> DataFrame:
     """Branch lists to components in order: (model, list_name, branch_seq, branch, seq, type, name, inlet, outlet)."""
     b = list_items(objects, "BranchList", r"^Branch_(\d+)_Name$").withColumnsRenamed({"seq": "branch_seq", "item": "branch"})
-    c = components(objects, "Branch").withColumnRenamed("owner", "branch")
+    c = components(objects, "Branch").drop("owner_type").withColumnRenamed("owner", "branch")
     return b.join(c, ["model", "branch"], "left").select("model", "list_name", "branch_seq", "branch", "seq", "type", "name", "inlet", "outlet")
 
 
@@ -107,8 +119,13 @@ PLANT_SIDES = {
 }
 
 
+# The objects that hold branches and connectors.
+PLANT_PARTS = ("BranchList", "Branch", "ConnectorList", "Connector:Splitter", "Connector:Mixer")
+
+
 def plant_topology(objects: DataFrame, loop_type: str = "PlantLoop", sides: Mapping[str, tuple[str, str]] = PLANT_SIDES) -> tuple[DataFrame, DataFrame]:
-    """Components and connector edges of every loop by side."""
+    """Components and connector edges of every loop by side. The objects needed are written once and read from there."""
+    objects = cut_lineage(objects.filter(F.col("obj_type").isin([loop_type, *PLANT_PARTS])))
     fields = [f for pair in sides.values() for f in pair]
     v = objects_of(objects, [loop_type], ["Name", *fields])
     pairs = F.array(*[F.struct(F.lit(s).alias("side"), F.col(b).alias("branch_list"), F.col(c).alias("connector_list")) for s, (b, c) in sides.items()])
@@ -124,42 +141,66 @@ def nested(components_: DataFrame, keys: Sequence[str]) -> DataFrame:
     return components_.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("components"))
 
 
+# Fields that name the supply branches of an air loop, first filled one; numbered node fields; plenum fields.
+AIR_BRANCH_LISTS = ("Branch_List_Name", "Supply_Side_Branch_List_Name", "Supply_Branch_List_Name")
+SUPPLY_PATH, RETURN_PATH = "AirLoopHVAC:SupplyPath", "AirLoopHVAC:ReturnPath"
+SPLITTER, MIXER, PLENUM = "AirLoopHVAC:ZoneSplitter", "AirLoopHVAC:ZoneMixer", "AirLoopHVAC:ReturnPlenum"
+NODE_FIELDS = {SPLITTER: r"^Outlet_(\d+)_Node_Name$", MIXER: r"^Inlet_(\d+)_Node_Name$", PLENUM: r"^Inlet_(\d+)_Node_Name$"}
+PLENUM_FIELDS = {"plenum_zone": "Zone_Name", "plenum_zone_node": "Zone_Node_Name", "plenum_outlet": "Outlet_Node_Name", "plenum_induced": "Induced_Air_Outlet_Node_or_NodeList_Name"}
+
+
 def air_topology(objects: DataFrame) -> DataFrame:
-    """Demand side of the air loops as edges: (model, loop, relation, source, target).
+    """Both sides of the air loops as edges: (model, loop, relation, source, target).
 
-    Supply paths are found by the loop's demand inlet node, return paths by its outlet node; splitters, mixers and
-    plenums by name; equipment by the splitter's outlet nodes. Every step is an equi join on a name.
+    Supply side: branches of the loop's branch list in ``supply_branch``, their components up to the first blank in
+    ``branch_component``. Demand side: supply paths are found by the loop's demand inlet node, return paths by its outlet
+    node; splitters, mixers and plenums by name, the filled fields of plenums as ``plenum_*``; equipment by the splitter's
+    outlet nodes. Every step is an equi join on a name. The objects needed are written once, and one pass each over that
+    table gives heads, components, nodes and equipment of all types.
     """
-    air = loops(objects, {"AirLoopHVAC": LOOP_TYPES["AirLoopHVAC"]})
+    heads_of = ["AirLoopHVAC", SUPPLY_PATH, RETURN_PATH, PLENUM]
+    objects = cut_lineage(objects.filter(F.col("obj_type").isin([*heads_of, SPLITTER, MIXER, "BranchList", "Branch", *EQUIPMENT_TYPES])))
+    _, _, inlet, outlet = LOOP_TYPES["AirLoopHVAC"]
+    path_in, path_out = "Supply_Air_Path_Inlet_Node_Name", "Return_Air_Path_Outlet_Node_Name"
+    heads = cut_lineage(objects_of(objects, heads_of, ["Name", inlet, outlet, path_in, path_out, *AIR_BRANCH_LISTS, *PLENUM_FIELDS.values()]))
+    air = heads.filter("obj_type = 'AirLoopHVAC'").select("model", F.col("Name").alias("loop"), F.col(inlet).alias("demand_inlet"), F.col(outlet).alias("demand_outlet"), F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in AIR_BRANCH_LISTS]).alias("list_name"))
     edge = lambda df, rel, s, t: df.select("model", "loop", F.lit(rel).alias("relation"), F.col(s).alias("source"), F.col(t).alias("target"))
 
     def paths(kind, field, node):
-        p = objects_of(objects, [kind], ["Name", field]).select("model", F.col("Name").alias("path"), F.col(field).alias("node"))
+        p = heads.filter(F.col("obj_type") == kind).select("model", F.col("Name").alias("path"), F.col(field).alias("node"), F.col("obj_type").alias("owner_type"))
         return air.select("model", "loop", F.col(node).alias("node")).join(p, ["model", "node"])
 
-    sup = paths("AirLoopHVAC:SupplyPath", "Supply_Air_Path_Inlet_Node_Name", "demand_inlet")
-    ret = paths("AirLoopHVAC:ReturnPath", "Return_Air_Path_Outlet_Node_Name", "demand_outlet")
-    part = lambda p, kind: p.join(components(objects, kind).withColumnRenamed("owner", "path"), ["model", "path"])
-    sup_c, ret_c = part(sup, "AirLoopHVAC:SupplyPath"), part(ret, "AirLoopHVAC:ReturnPath")
-
-    def nodes(kind, pattern):
-        return list_items(objects, kind, pattern).select("model", F.col("list_name").alias("name"), F.col("item").alias("port"))
-
-    split = sup_c.filter("type = 'AirLoopHVAC:ZoneSplitter'").join(nodes("AirLoopHVAC:ZoneSplitter", r"^Outlet_(\d+)_Node_Name$"), ["model", "name"])
-    mix = ret_c.filter("type = 'AirLoopHVAC:ZoneMixer'").join(nodes("AirLoopHVAC:ZoneMixer", r"^Inlet_(\d+)_Node_Name$"), ["model", "name"])
-    plenum = ret_c.filter("type = 'AirLoopHVAC:ReturnPlenum'").join(nodes("AirLoopHVAC:ReturnPlenum", r"^Inlet_(\d+)_Node_Name$"), ["model", "name"])
+    sup, ret = paths(SUPPLY_PATH, path_in, "demand_inlet"), paths(RETURN_PATH, path_out, "demand_outlet")
+    parts = components(objects, [SUPPLY_PATH, RETURN_PATH]).select("model", "owner_type", F.col("owner").alias("path"), "type", "name")
+    parts = cut_lineage(sup.unionByName(ret).join(parts, ["model", "owner_type", "path"]))
+    sup_c, ret_c = parts.filter(F.col("owner_type") == SUPPLY_PATH), parts.filter(F.col("owner_type") == RETURN_PATH)
+
+    used = parts.filter(((F.col("owner_type") == SUPPLY_PATH) & (F.col("type") == SPLITTER)) | ((F.col("owner_type") == RETURN_PATH) & F.col("type").isin(MIXER, PLENUM)))
+    nodes = numbered_items(objects, NODE_FIELDS).select("model", F.col("obj_type").alias("type"), "name", F.col("item").alias("port"))
+    nodes = cut_lineage(used.select("model", "loop", "type", "name").join(nodes, ["model", "type", "name"]))
+    split = nodes.filter(F.col("type") == SPLITTER)
+    into = F.when(F.col("type") == MIXER, "mixer").otherwise("plenum")
+    mixed = nodes.filter(F.col("type") != SPLITTER).select("model", "loop", into.alias("relation"), F.col("port").alias("source"), F.col("name").alias("target"))
+    fields = F.array(*[F.struct(F.lit(r).alias("relation"), F.col(c).alias("target")) for r, c in PLENUM_FIELDS.items()])
+    plenums = heads.filter(F.col("obj_type") == PLENUM).select("model", F.col("Name").alias("name"), F.inline(fields)).filter("target <> ''")
+    plenums = ret_c.filter(F.col("type") == PLENUM).select("model", "loop", "name").join(plenums, ["model", "name"])
     inlets = ["Air_Inlet_Node_Name", "Supply_Air_Inlet_Node_Name", "Zone_Supply_Air_Node_Name"]
     eq = objects_of(objects, EQUIPMENT_TYPES, ["Name", *inlets]).select("model", F.col("Name").alias("equipment"), F.coalesce(*inlets).alias("port"))
     served = split.select("model", "loop", "port").distinct().join(eq, ["model", "port"])
+    listed = air.select("model", "loop", "list_name").join(list_items(objects, "BranchList", r"^Branch_(\d+)_Name$"), ["model", "list_name"]).withColumnRenamed("item", "branch")
+    listed = cut_lineage(listed.select("model", "loop", "branch"))
+    held = listed.join(components(objects, "Branch").select("model", F.col("owner").alias("branch"), "name"), ["model", "branch"])
     return (
         edge(sup, "supply_path", "node", "path")
         .unionByName(edge(ret, "return_path", "path", "node"))
         .unionByName(edge(sup_c, "supply_component", "path", "name"))
         .unionByName(edge(ret_c, "return_component", "name", "path"))
         .unionByName(edge(split, "splitter", "name", "port"))
-        .unionByName(edge(mix, "mixer", "port", "name"))
-        .unionByName(edge(plenum, "plenum", "port", "name"))
+        .unionByName(mixed)
+        .unionByName(plenums.select("model", "loop", "relation", F.col("name").alias("source"), "target"))
         .unionByName(edge(served, "equipment", "port", "equipment"))
+        .unionByName(edge(listed, "supply_branch", "loop", "branch"))
+        .unionByName(edge(held, "branch_component", "branch", "name"))
     )
 
 

@@ -249,20 +249,58 @@ def _(t):
     )
 
 
+def plant_connectors(t):
+    """Each side of a plant loop has a connector list with a splitter to its branches and a mixer from them."""
+    c = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).withColumn("p", F.when(F.col("c_acctbal") > 0, "Plant").otherwise("Demand"))
+    c = c.select(F.col("n_regionkey").cast("string").alias("model"), (F.col("n_nationkey") * 2 + F.when(F.col("p") == "Plant", 0).otherwise(1)).alias("i"), F.concat_ws(" ", "p", "n_name").alias("side"), F.concat_ws(" c ", "p", "n_name").alias("list"), "c_custkey", "c_name")
+    s, m = F.concat(F.lit("S "), "side"), F.concat(F.lit("M "), "side")
+    one = c.select("model", "i", "side", "list").distinct()
+    o = M.objects_from(one, F.col("model"), "ConnectorList", F.col("i"), {"Name": F.col("list"), "Connector_1_Object_Type": F.lit("Connector:Splitter"), "Connector_1_Name": s, "Connector_2_Object_Type": F.lit("Connector:Mixer"), "Connector_2_Name": m})
+    o = o.union(M.objects_from(one, F.col("model"), "Connector:Splitter", F.col("i"), {"Name": s, "Inlet_Branch_Name": F.concat(F.lit("from "), "side")}))
+    o = o.union(M.objects_from(one, F.col("model"), "Connector:Mixer", F.col("i"), {"Name": m, "Outlet_Branch_Name": F.concat(F.lit("to "), "side")}))
+    many = lambda typ, w: c.select("model", F.lit(typ).alias("obj_type"), F.col("i").cast("bigint").alias("obj_idx"), F.lit(5).alias("field_idx"), F.concat(F.lit(w + "_Branch_"), (F.col("c_custkey") + 1).cast("string"), F.lit("_Name")).alias("field_name"), F.col("c_name").alias("value"))
+    return o.union(many("Connector:Splitter", "Outlet")).union(many("Connector:Mixer", "Inlet"))
+
+
+@query("f33_plant_edges", """
+with c as (select cast(n_regionkey as varchar) as model, n_name as loop, case when c_acctbal > 0 then 'supply' else 'demand' end as side, case when c_acctbal > 0 then 'Plant' else 'Demand' end as p, n_name, c_name from customer join nation on c_nationkey = n_nationkey)
+select model, loop, side, p || ' c ' || n_name as connector_list, 'Connector:Splitter' as type, 'S ' || p || ' ' || n_name as name, 'from ' || p || ' ' || n_name as source, c_name as target from c
+union all select model, loop, side, p || ' c ' || n_name, 'Connector:Mixer', 'M ' || p || ' ' || n_name, c_name, 'to ' || p || ' ' || n_name from c""")
+def _(t):
+    return T.plant_topology(plant(t).union(plant_connectors(t)))[1]
+
+
+@query("f33_nested_components", PLANT + """
+select model, n_name as loop, side, cast(count(seq) as bigint) as components, cast(max(length(name)) filter (seq is not null) as int) as longest_name, min(case when seq is not null then branch || ':' || seq end) as first_item from b group by model, n_name, side having count(seq) > 0""")
+def _(t):
+    comp, _ = T.plant_topology(plant(t))
+    n = T.nested(comp.filter("seq is not null"), ["model", "loop", "side"])
+    item = F.transform("components", lambda x: F.concat_ws(":", x["branch"], x["seq"].cast("string")))
+    return n.select("model", "loop", "side", F.size("components").cast("bigint").alias("components"), F.array_max(F.transform("components", lambda x: F.length(x["name"]))).alias("longest_name"), F.array_min(item).alias("first_item"))
+
+
 def air(t):
     """Suppliers are air loops, their parts of line items the splitter outlets, orders the terminals."""
     k = F.col("s_suppkey").cast("string")
     c = lambda p: F.concat(F.lit(p), k)
     m = F.lit("m")
     s = t.supplier
-    o = M.objects_from(s, m, "AirLoopHVAC", F.col("s_suppkey"), {"Name": F.col("s_name"), "Demand_Side_Inlet_Node_Names": c("di"), "Demand_Side_Outlet_Node_Name": c("do")})
+    o = M.objects_from(s, m, "AirLoopHVAC", F.col("s_suppkey"), {"Name": F.col("s_name"), "Demand_Side_Inlet_Node_Names": c("di"), "Demand_Side_Outlet_Node_Name": c("do"), "Branch_List_Name": F.when(F.col("s_suppkey") % 4 == 0, "").otherwise(c("bl")), "Supply_Side_Branch_List_Name": c("bl")})
     o = o.union(M.objects_from(s, m, "AirLoopHVAC:SupplyPath", F.col("s_suppkey"), {"Name": c("sp"), "Supply_Air_Path_Inlet_Node_Name": c("di"), "Component_1_Object_Type": F.lit("AirLoopHVAC:ZoneSplitter"), "Component_1_Name": c("zs")}))
     o = o.union(M.objects_from(s, m, "AirLoopHVAC:ReturnPath", F.col("s_suppkey"), {"Name": c("rp"), "Return_Air_Path_Outlet_Node_Name": c("do"), "Component_1_Object_Type": F.lit("AirLoopHVAC:ZoneMixer"), "Component_1_Name": c("zm"), "Component_2_Object_Type": F.lit("AirLoopHVAC:ReturnPlenum"), "Component_2_Name": c("pl")}))
+    o = o.union(M.objects_from(s, m, "AirLoopHVAC:ReturnPlenum", F.col("s_suppkey"), {"Zone_Name": c("zn"), "Outlet_Node_Name": c("po"), "Induced_Air_Outlet_Node_or_NodeList_Name": F.lit("")}))
+    o = o.union(M.objects_from(s, m, "BranchList", F.col("s_suppkey"), {"Name": c("bl")}))
     for typ, p in (("AirLoopHVAC:ZoneSplitter", "zs"), ("AirLoopHVAC:ZoneMixer", "zm"), ("AirLoopHVAC:ReturnPlenum", "pl")):
         o = o.union(M.objects_from(s, m, typ, F.col("s_suppkey"), {"Name": c(p)}))
     li = t.lineitem.select("l_suppkey", "l_partkey").distinct()
     port = lambda typ, w: li.select(m.alias("model"), F.lit(typ).alias("obj_type"), F.col("l_suppkey").alias("obj_idx"), F.lit(9).alias("field_idx"), F.concat(F.lit(w + "_"), (F.col("l_partkey") + 1).cast("string"), F.lit("_Node_Name")).alias("field_name"), F.concat(F.lit(w), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("value"))
     o = o.union(port("AirLoopHVAC:ZoneSplitter", "Outlet")).union(port("AirLoopHVAC:ZoneMixer", "Inlet"))
+    o = o.union(port("AirLoopHVAC:ReturnPlenum", "Inlet").filter("value like '%7'"))
+    # every fifth part is a branch of a coil and a fan; the name of the fan is blank in every second one
+    br = li.filter("l_partkey % 5 = 0")
+    named = lambda w: F.concat(F.lit(w), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
+    o = o.union(br.select(m.alias("model"), F.lit("BranchList").alias("obj_type"), F.col("l_suppkey").alias("obj_idx"), F.lit(9).alias("field_idx"), F.concat(F.lit("Branch_"), (F.col("l_partkey") + 1).cast("string"), F.lit("_Name")).alias("field_name"), named("br").alias("value")))
+    o = o.union(M.objects_from(br, m, "Branch", F.col("l_suppkey") * 1000000 + F.col("l_partkey"), {"Name": named("br"), "Component_1_Object_Type": F.lit("Coil"), "Component_1_Name": named("coil"), "Component_2_Object_Type": F.lit("Fan"), "Component_2_Name": F.when(F.col("l_partkey") % 10 == 0, "").otherwise(named("fan"))}))
     term = li.filter("l_partkey % 2 = 0")
     e = M.objects_from(term, m, "AirTerminal:SingleDuct:VAV:Reheat", F.col("l_suppkey") * 1000000 + F.col("l_partkey"), {"Name": F.concat(F.lit("vav"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")), "Air_Inlet_Node_Name": F.concat(F.lit("Outlet"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))})
     return o.union(e)
@@ -277,7 +315,13 @@ union all select 'm', loop, 'return_component', 'zm' || k, 'rp' || k from s
 union all select 'm', loop, 'return_component', 'pl' || k, 'rp' || k from s
 union all select 'm', loop, 'splitter', 'zs' || k, 'Outlet' || k || '-' || p from j
 union all select 'm', loop, 'mixer', 'Inlet' || k || '-' || p, 'zm' || k from j
-union all select 'm', loop, 'equipment', 'Outlet' || k || '-' || p, 'vav' || k || '-' || p from j where p % 2 = 0""")
+union all select 'm', loop, 'plenum', 'Inlet' || k || '-' || p, 'pl' || k from j where p % 10 = 7
+union all select 'm', loop, 'plenum_zone', 'pl' || k, 'zn' || k from s
+union all select 'm', loop, 'plenum_outlet', 'pl' || k, 'po' || k from s
+union all select 'm', loop, 'equipment', 'Outlet' || k || '-' || p, 'vav' || k || '-' || p from j where p % 2 = 0
+union all select 'm', loop, 'supply_branch', loop, 'br' || k || '-' || p from j where p % 5 = 0
+union all select 'm', loop, 'branch_component', 'br' || k || '-' || p, 'coil' || k || '-' || p from j where p % 5 = 0
+union all select 'm', loop, 'branch_component', 'br' || k || '-' || p, 'fan' || k || '-' || p from j where p % 10 = 5""")
 def _(t):
     return T.air_topology(air(t))
 

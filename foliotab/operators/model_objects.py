@@ -130,6 +130,25 @@ def load_summary(designed: DataFrame, by: Sequence[str]) -> DataFrame:
     return designed.groupBy(*by).agg(F.count("*").alias("objects"), F.count("design").alias("known"), F.round(F.sum("design"), 2).alias("total"))
 
 
+def load_overview(designed: DataFrame) -> DataFrame:
+    """Objects, known designs and their sum by method, by zone and in all: (model, scope, key, objects, known, total).
+
+    Loads without a method (zone) are in no row of that scope. One pass: a load is counted before rows are shuffled.
+    """
+    method, zone = (F.nullif(F.col(c), F.lit("")).alias(c) for c in ("method", "zone"))
+    d = designed.select("model", method, zone, "design")
+    grid = d.groupingSets([["model", "method"], ["model", "zone"], ["model"]], "model", "method", "zone")
+    out = grid.agg(F.grouping("method").alias("__m"), F.grouping("zone").alias("__z"), F.count(F.lit(1)).alias("objects"), F.count("design").alias("known"), F.sum("design").alias("total"))
+    scope = F.when(F.col("__m") == 0, "method").when(F.col("__z") == 0, "zone").otherwise("all")
+    out = out.select("model", scope.alias("scope"), F.coalesce("method", "zone").alias("key"), "objects", "known", "total")
+    return out.filter("scope = 'all' or key is not null")
+
+
+def loads_by_zone(designed: DataFrame, order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The list of loads of each zone, in order, as rows with their place ``seq`` in it; a hot zone is many tasks."""
+    return ordered.position(designed.filter("zone <> ''"), ["model", "zone"], order, "seq", ties=ties)
+
+
 # Fields that may be changed, and the checks on their new values.
 PEOPLE_FIELDS = {
     "Number_of_People_Schedule_Name": "text",

@@ -25,7 +25,7 @@ SCHEDULE_GROUPS = {
     "Schedule:Year": "annual_schedules",
     "Schedule:Compact": "annual_schedules",
     "Schedule:Constant": "annual_schedules",
-    "Schedule:File": "other_schedules",
+    "Schedule:File": "annual_schedules",
     "Schedule:File:Shading": "other_schedules",
 }
 DAY_TYPES = ["Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Holiday", "SummerDesignDay", "WinterDesignDay", "CustomDay1", "CustomDay2"]
@@ -38,6 +38,55 @@ def schedule_inventory(objects: DataFrame) -> DataFrame:
     return o.groupBy("model", "schedule_group").agg(F.count("*").alias("objects"), F.array_join(F.sort_array(F.collect_set("obj_type")), ",").alias("types"))
 
 
+# Columns of the inventory as (field, types that have it, value where it is missing), and fields that hold values.
+UNSET = "Not specified"
+_LIMITED = ("Schedule:Day:Hourly", "Schedule:Day:Interval", "Schedule:Day:List", "Schedule:Year", "Schedule:Compact", "Schedule:Constant", "Schedule:File")
+DETAILS = {
+    "type_limits": ("Schedule_Type_Limits_Name", _LIMITED, UNSET),
+    "lower_limit": ("Lower_Limit_Value", ("ScheduleTypeLimits",), UNSET),
+    "upper_limit": ("Upper_Limit_Value", ("ScheduleTypeLimits",), UNSET),
+    "numeric_type": ("Numeric_Type", ("ScheduleTypeLimits",), UNSET),
+    "unit_type": ("Unit_Type", ("ScheduleTypeLimits",), UNSET),
+    "interpolate": ("Interpolate_to_Timestep", ("Schedule:Day:Interval", "Schedule:Day:List"), "No"),
+    "minutes_per_item": ("Minutes_Per_Item", ("Schedule:Day:List",), UNSET),
+    "hourly_value": ("Hourly_Value", ("Schedule:Constant",), UNSET),
+    "file_name": ("File_Name", ("Schedule:File", "Schedule:File:Shading"), UNSET),
+    "column_number": ("Column_Number", ("Schedule:File",), UNSET),
+    "number_of_hours": ("Number_of_Hours_of_Data", ("Schedule:File",), UNSET),
+}
+VALUE_FIELDS = {"Schedule:Day:Hourly": r"Hour_\d+", "Schedule:Day:Interval": r"Value_Until_Time_\d+", "Schedule:Day:List": r"Value_\d+", "Schedule:Compact": r"Field_\d+", "Schedule:Constant": "Hourly_Value"}
+FILES = ("Schedule:File", "Schedule:File:Shading")
+
+
+def schedule_details(objects: DataFrame) -> DataFrame:
+    """One row per schedule object: group, name, the columns of its type (NULL for other types) and a summary of its values.
+
+    ``points``, ``low`` and ``high`` are over the fields that hold numbers; a blank or invalid value of an hourly or listed
+    day is 0.0, of other types it is left out, as are the words of compact schedules. ``status`` is ``values``, ``no values``,
+    ``skipped`` (values in files) or NULL for types without values. One aggregate over the objects, whatever their number.
+    """
+    group = F.create_map(*[F.lit(x) for kv in SCHEDULE_GROUPS.items() for x in kv])[F.col("obj_type")]
+    kind, field = F.col("obj_type"), F.col("field_name")
+    holds = F.lit(False)
+    for k, pattern in VALUE_FIELDS.items():
+        holds = holds | ((kind == k) & field.rlike(f"^{pattern}$"))
+    number = F.col("value").try_cast("double")
+    number = F.when(holds, F.when(kind.isin("Schedule:Day:Hourly", "Schedule:Day:List"), F.coalesce(number, F.lit(0.0))).otherwise(number))
+    picks = {"name": F.coalesce(F.max(F.when(field == "Name", F.col("value"))), F.lit("Unknown"))}
+    for name, (source, kinds, missing) in DETAILS.items():
+        picks[name] = F.when(kind.isin(list(kinds)), F.coalesce(F.max(F.when(field == source, F.col("value"))), F.lit(missing)))
+    one = objects.filter(kind.isin(list(SCHEDULE_GROUPS))).groupBy("model", "obj_type", "obj_idx")
+    one = one.agg(*[p.alias(n) for n, p in picks.items()], F.count(number).alias("points"), F.min(number).alias("low"), F.max(number).alias("high"))
+    status = F.when(kind.isin(list(FILES)), "skipped").when(kind.isin(list(VALUE_FIELDS)), F.when(F.col("points") > 0, "values").otherwise("no values"))
+    return one.withColumns({"schedule_group": group, "profile": F.when(kind == "Schedule:Day:Hourly", "24 hourly values"), "status": status})
+
+
+def value_summary(details: DataFrame) -> DataFrame:
+    """Per model: schedules, and how many have values, have none and are skipped."""
+    counts = {"with_values": "values", "without_values": "no values", "skipped_files": "skipped"}
+    return details.groupBy("model").agg(F.count("*").alias("schedules"), *[F.count_if(F.col("status") == v).alias(n) for n, v in counts.items()])
+
+
 def unpivot_fields(view: DataFrame, ids: Sequence[str], fields: Mapping[str, str], name: str, value: str) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(label).alias(name), F.col(c).alias(value)) for i, (c, label) in enumerate(fields.items())])
     return view.select(*ids, F.inline(pairs))

@@ -137,6 +137,48 @@ def _(t):
     return summary(t, M.EQUIPMENT, ["design_level", "watts_per_area", "watts_per_person"], ["EquipmentLevel", "Watts/Area", "Watts/Person"])
 
 
+OVERVIEW = """
+with l as (select l_returnflag as model, 'S' || l_suppkey as zone, l_suppkey, l_linenumber % 4 as m, l_quantity as q from lineitem),
+d as (select model, zone, case m {names} end as method, cast(case m {values} end as decimal(30,10)) as design
+  from l left join (select s_suppkey, case when s_suppkey % 4 <> 0 then s_suppkey + 0.5 end as area from supplier where s_suppkey % 9 <> 0) on s_suppkey = l_suppkey),
+g as (select model, 'method' as scope, method as key, design from d where method is not null union all select model, 'zone', zone, design from d union all select model, 'all', null, design from d)
+select model, scope, key, cast(count(*) as bigint) as objects, cast(count(design) as bigint) as known, round(cast(sum(design) as double), 2) as total from g group by model, scope, key
+"""
+
+
+def overview(t, rules, columns, names):
+    d = M.design_values(loads(t, names, columns), zone_areas(t), rules).withColumn("design", F.col("design").cast("decimal(30,10)"))
+    return M.load_overview(d).withColumn("total", F.round(F.col("total").cast("double"), 2))
+
+
+LEVELS = ["lighting_level", "watts_per_area", "watts_per_person"]
+
+
+@query("f04_people_overview", OVERVIEW.format(
+    names="when 0 then 'People' when 1 then 'People/Area' when 2 then 'Area/Person'",
+    values="when 0 then case when q > 3 then q end when 1 then case when q > 4 then (q + 1) * area end when 2 then case when q > 5 then area / (q + 2) end",
+))
+def _(t):
+    return overview(t, M.PEOPLE, ["number_of_people", "people_per_area", "area_per_person"], ["People", "People/Area", "Area/Person"])
+
+
+@query("f05_lights_overview", OVERVIEW.format(names="when 0 then 'LightingLevel' when 1 then 'Watts/Area' when 2 then 'Watts/Person'", values=WATTS))
+def _(t):
+    return overview(t, M.LIGHTS, LEVELS, ["LightingLevel", "Watts/Area", "Watts/Person"])
+
+
+@query("f06_equipment_overview", OVERVIEW.format(names="when 0 then 'EquipmentLevel' when 1 then 'Watts/Area' when 2 then 'Watts/Person'", values=WATTS))
+def _(t):
+    return overview(t, M.EQUIPMENT, ["design_level", "watts_per_area", "watts_per_person"], ["EquipmentLevel", "Watts/Area", "Watts/Person"])
+
+
+@query("f05_lights_by_zone", """
+select l_returnflag as model, 'S' || l_suppkey as zone, l_orderkey, l_linenumber, row_number() over (partition by l_returnflag, l_suppkey order by l_orderkey, l_linenumber) as seq from lineitem""")
+def _(t):
+    d = M.design_values(loads(t, ["LightingLevel", "Watts/Area", "Watts/Person"], LEVELS), zone_areas(t), M.LIGHTS)
+    return M.loads_by_zone(d, "l_orderkey", ["l_linenumber"]).select("model", "zone", "l_orderkey", "l_linenumber", "seq")
+
+
 def lights(t):
     o = t.customer.join(zones(t), F.col("c_nationkey") == F.col("nk"))
     return M.objects_from(
@@ -257,13 +299,48 @@ def schedule_objects(t):
 
 @query("f13_schedule_inventory", """
 with k as (select o_orderpriority as model, o_custkey % 12 as c from orders),
-g as (select model, case when c = 0 then 'schedule_type_limits' when c < 4 then 'day_schedules' when c < 6 then 'week_schedules' when c < 9 then 'annual_schedules' else 'other_schedules' end as schedule_group,
+g as (select model, case when c = 0 then 'schedule_type_limits' when c < 4 then 'day_schedules' when c < 6 then 'week_schedules' when c < 10 then 'annual_schedules' else 'other_schedules' end as schedule_group,
   list_extract(['ScheduleTypeLimits', 'Schedule:Day:Hourly', 'Schedule:Day:Interval', 'Schedule:Day:List', 'Schedule:Week:Daily', 'Schedule:Week:Compact', 'Schedule:Year', 'Schedule:Compact', 'Schedule:Constant', 'Schedule:File', 'Schedule:File:Shading'], c + 1) as kind from k where c < 11)
 select model, schedule_group, cast(count(*) as bigint) as objects, string_agg(distinct kind, ',' order by kind) as types from g group by model, schedule_group""")
 def _(t):
     return H.schedule_inventory(schedule_objects(t))
 
 
+def detailed_objects(t):
+    """Every schedule has the same fields, whether its type reads them or not."""
+    kinds = F.array(*[F.lit(k) for k in (*H.SCHEDULE_GROUPS, "Version")])
+    k = F.col("o_orderkey").cast("string")
+    fields = {
+        "Name": F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("s"), k)), "Schedule_Type_Limits_Name": F.when(F.col("o_custkey") % 7 > 0, F.col("o_orderstatus")), "Lower_Limit_Value": F.lit("0"),
+        "Interpolate_to_Timestep": F.when(F.col("o_custkey") % 5 > 0, "Average"), "Hour_1": k, "Hour_2": F.lit(""), "Value_1": k, "Hourly_Value": F.when(F.col("o_orderkey") % 2 == 0, "4.5"), "File_Name": F.lit("f"),
+    }
+    return M.objects_from(t.orders, F.col("o_orderpriority"), "?", F.col("o_orderkey"), fields).drop("obj_type").join(t.orders.select(F.col("o_orderkey").alias("obj_idx"), F.get(kinds, (F.col("o_custkey") % 12).cast("int")).alias("obj_type")), "obj_idx").select(*M.OBJECT)
+
+
+DETAIL_SQL = """
+with k as (select o_orderpriority as model, cast(o_orderkey as bigint) as obj_idx, o_custkey % 12 as c, o_custkey as ck, o_orderstatus as st from orders where o_custkey % 12 < 11),
+d as (select model, list_extract(['ScheduleTypeLimits', 'Schedule:Day:Hourly', 'Schedule:Day:Interval', 'Schedule:Day:List', 'Schedule:Week:Daily', 'Schedule:Week:Compact', 'Schedule:Year', 'Schedule:Compact', 'Schedule:Constant', 'Schedule:File', 'Schedule:File:Shading'], c + 1) as obj_type,
+  obj_idx, case when c = 0 then 'schedule_type_limits' when c < 4 then 'day_schedules' when c < 6 then 'week_schedules' when c < 10 then 'annual_schedules' else 'other_schedules' end as schedule_group,
+  case when obj_idx % 3 > 0 then 's' || obj_idx else 'Unknown' end as name, case when c in (1, 2, 3, 6, 7, 8, 9) then case when ck % 7 > 0 then st else 'Not specified' end end as type_limits,
+  case when c = 0 then '0' end as lower_limit, case when c = 0 then 'Not specified' end as upper_limit, case when c in (2, 3) then case when ck % 5 > 0 then 'Average' else 'No' end end as interpolate,
+  case when c = 8 then case when obj_idx % 2 = 0 then '4.5' else 'Not specified' end end as hourly_value, case when c in (9, 10) then 'f' end as file_name, case when c = 1 then '24 hourly values' end as profile,
+  cast(case c when 1 then 2 when 3 then 1 when 8 then 1 - obj_idx % 2 else 0 end as bigint) as points, cast(case c when 1 then 0 when 3 then obj_idx when 8 then case when obj_idx % 2 = 0 then 4.5 end end as double) as low,
+  cast(case c when 1 then obj_idx when 3 then obj_idx when 8 then case when obj_idx % 2 = 0 then 4.5 end end as double) as high,
+  case when c in (9, 10) then 'skipped' when c in (1, 3) or c = 8 and obj_idx % 2 = 0 then 'values' when c in (2, 7, 8) then 'no values' end as status from k)
+"""
+
+
+@query("f13_schedule_details", DETAIL_SQL + "select * from d")
+def _(t):
+    return H.schedule_details(detailed_objects(t)).drop("numeric_type", "unit_type", "minutes_per_item", "column_number", "number_of_hours")
+
+
+@query("f13_value_summary", DETAIL_SQL + """
+select model, cast(count(*) as bigint) as schedules, cast(count(*) filter (status = 'values') as bigint) as with_values, cast(count(*) filter (status = 'no values') as bigint) as without_values, cast(count(*) filter (status = 'skipped') as bigint) as skipped_files from d group by model""")
+def _(t):
+    return H.value_summary(H.schedule_details(detailed_objects(t)))
+
+
 @query("f14_week_refs", """
 select o_orderkey, d as day_type, o_orderstatus || '-' || d as schedule from orders,
   (values ('Sunday'), ('Monday'), ('Tuesday'), ('Wednesday'), ('Thursday'), ('Friday'), ('Saturday'), ('Holiday'), ('SummerDesignDay'), ('WinterDesignDay'), ('CustomDay1'), ('CustomDay2')) x(d)""")

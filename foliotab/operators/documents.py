@@ -1,17 +1,22 @@
 """Document preparation: tables, headers, chunks, pages, context.
 
-A document is one row, so work inside it uses array functions on that row and needs no shuffle.
+A document is one row, so work inside it uses array functions on that row and needs no shuffle; passes that carry a state
+from line to line run on Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ordered
+from ..functions import folds, ordered
 from ..functions.text import bound
+from ..session import ship_by_value
+
+ship_by_value(folds.__name__)
 
 
 def _lines(text: str | Column) -> Column:
@@ -105,106 +110,39 @@ def untag(chunks: DataFrame, content: str = "content", tables: str = "tables") -
 
 
 def split_headers(docs: DataFrame, text: str = "text", strip_headers: bool = False) -> DataFrame:
-    """Sections at markdown headers; ``metadata`` maps "Header k" to the active title of that level."""
-
-    def body(ls):
-        level = lambda s: F.length(F.regexp_extract(s, r"^(#{1,6}) ", 1))
-        index = F.sequence(F.lit(0), F.size(ls) - 1)
-        heads = F.transform(
-            F.filter(index, lambda i: level(F.get(ls, i)) > 0),
-            lambda i: F.struct(i.alias("at"), level(F.get(ls, i)).alias("level"), F.trim(F.regexp_replace(F.get(ls, i), r"^#+ ", "")).alias("title")),
-        )
-
-        def with_heads(hs):
-            zero = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("level"), F.lit(None).cast("string").alias("title")))
-            all_ = F.when(F.coalesce(F.get(hs, F.lit(0))["at"], F.lit(-1)) == 0, hs).otherwise(F.concat(zero, hs))
-
-            def sections(sec):
-                def one(h, k):
-                    end = F.coalesce(F.get(sec, k + 1)["at"], F.size(ls))
-                    skip = F.when((h["level"] > 0) & F.lit(strip_headers), 1).otherwise(0)
-                    content = _join(F.slice(ls, h["at"] + 1 + skip, end - h["at"] - skip))
-                    seen = F.slice(sec, F.lit(1), k + 1)
-
-                    def active(lv):
-                        own = F.try_element_at(F.filter(seen, lambda s: s["level"] == lv), F.lit(-1))
-                        upper = F.array_max(F.transform(F.filter(seen, lambda s: (s["level"] > 0) & (s["level"] < lv)), lambda s: s["at"]))
-                        live = own.isNotNull() & (upper.isNull() | (own["at"] > upper))
-                        return F.when(live, F.struct(F.concat(F.lit("Header "), lv.cast("string")).alias("key"), own["title"].alias("value")))
-
-                    path = F.filter(F.transform(F.sequence(F.lit(1), F.lit(6)), active), lambda x: x.isNotNull())
-                    return F.struct(content.alias("content"), F.map_from_entries(path).alias("metadata"))
-
-                return F.filter(F.transform(sec, one), lambda s: F.trim(s["content"]) != "")
+    """Sections at markdown headers; ``metadata`` maps "Header k" to the active title of that level.
 
-            return bound(all_, sections)
+    One pass over the lines with a stack of active titles. A null text has no sections.
+    """
+    kind = pa.list_(pa.struct([("content", pa.string()), ("metadata", pa.map_(pa.string(), pa.string()))]))
 
-        return bound(heads, with_heads)
+    @F.arrow_udf("array<struct<content string, metadata map<string, string>>>")
+    def sections(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = (folds.header_sections(t.as_py(), strip_headers) if t.is_valid else () for t in texts)
+            yield pa.array([[{"content": c, "metadata": m} for c, m in r] for r in rows], kind)
 
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(bound(_lines(text), body)).alias("section", "s")).select(*keep, "section", "s.content", "s.metadata")
-
-
-_MARK = "\x01"
-
-
-def _cut(col: Column, sep: str) -> Column:
-    """Pieces that keep their separator in front."""
-    pieces = F.split(F.replace(col, F.lit(sep), F.lit(_MARK + sep)), _MARK)
-    return F.filter(pieces, lambda p: p != "")
+    return docs.select(*keep, F.posexplode(sections(F.col(text))).alias("section", "s")).select(*keep, "section", "s.content", "s.metadata")
 
 
 def split_recursive(docs: DataFrame, text: str, size: int, overlap: int = 0) -> DataFrame:
     """Cut at blank lines, then at ".\\n" inside what is still too long, and pack pieces up to ``size`` characters.
 
     A piece that stays too long is a chunk of its own; packing never runs across it. ``overlap`` repeats the last
-    pieces of a chunk, up to that many characters, in the next one.
+    pieces of a chunk, up to that many characters, in the next one. One pass over the pieces. A null text has no chunks.
     """
-    piece = lambda p, g, h: F.struct(p.alias("t"), g.cast("int").alias("g"), h.cast("int").alias("h"))
+    kind = pa.list_(pa.struct([("t", pa.string()), ("long", pa.bool_())]))
 
-    def pieces(top):
-        def one(p, i):
-            big = F.length(p) >= size
-            # good pieces between two long ones share a group, each long one opens its own
-            before = F.size(F.filter(F.slice(top, F.lit(1), i), lambda q: F.length(q) >= size))
-            inner = bound(_cut(p, ".\n"), lambda sub: F.transform(sub, lambda q, j: piece(q, before * 2 + 1, F.size(F.filter(F.slice(sub, F.lit(1), j), lambda r: F.length(r) >= size)) * 2 + F.when(F.length(q) >= size, 1).otherwise(0))))
-            return F.when(big, inner).otherwise(F.array(piece(p, before * 2, F.lit(0))))
+    @F.arrow_udf("array<struct<t string, long boolean>>")
+    def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            rows = (folds.packed(t.as_py(), size, overlap) if t.is_valid else () for t in texts)
+            yield pa.array([[{"t": c, "long": x} for c, x in r] for r in rows], kind)
 
-        return F.flatten(F.transform(top, one))
-
-    top = F.when(F.col(text).contains("\n\n"), _cut(F.col(text), "\n\n")).otherwise(F.filter(F.array(F.col(text)), lambda p: p != ""))
-
-    def pack(ps):
-        length = lambda i: F.length(F.get(ps, i)["t"])
-        total = lambda s, e: F.aggregate(F.sequence(s, e), F.lit(0), lambda a, i: a + F.when((i >= s) & (i < e), length(i)).otherwise(0))
-        same = lambda i: (F.get(ps, i)["g"] == F.get(ps, i - 1)["g"]) & (F.get(ps, i)["h"] == F.get(ps, i - 1)["h"])
-        span = lambda s, e: F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
-        zero = F.struct(F.lit(0).alias("s"), F.lit(0).alias("n"), F.array().cast("array<struct<s:int,e:int>>").alias("done"))
-
-        def step(acc, i):
-            fits = same(i) & (acc["n"] + length(i) <= size)
-            if overlap > 0:
-                back = F.filter(F.sequence(acc["s"], i), lambda s: (s == i) | (same(i) & (total(s, i) <= overlap) & (total(s, i) + length(i) <= size)))
-                start = F.coalesce(F.get(back, F.lit(0)), i)
-            else:
-                start = i
-            fresh = F.struct(start.cast("int").alias("s"), (total(start, i) + length(i)).cast("int").alias("n"), F.array_append(acc["done"], span(acc["s"], i)).alias("done"))
-            grown = F.struct(acc["s"].alias("s"), (acc["n"] + length(i)).cast("int").alias("n"), acc["done"].alias("done"))
-            first = F.struct(F.lit(0).alias("s"), length(i).cast("int").alias("n"), acc["done"].alias("done"))
-            return F.when(i == 0, first).when(fits, grown).otherwise(fresh)
-
-        index = F.when(F.size(ps) > 0, F.sequence(F.lit(0), F.size(ps) - 1)).otherwise(F.array().cast("array<int>"))
-        cuts = F.aggregate(index, zero, step, lambda a: F.when(F.size(ps) > 0, F.array_append(a["done"], span(a["s"], F.size(ps)))).otherwise(a["done"]))
-
-        def chunk(c):
-            joined = _join(F.transform(F.slice(ps, c["s"] + 1, c["e"] - c["s"]), lambda p: p["t"]), "")
-            return F.when((c["e"] - c["s"] == 1) & (F.length(joined) >= size), joined).otherwise(F.regexp_replace(joined, r"^\s+|\s+$", ""))
-
-        return F.filter(F.transform(cuts, chunk), lambda c: c != "")
-
-    chunks = bound(bound(top, pieces), pack)
+    trimmed = F.transform(chunks(F.col(text)), lambda c: F.when(c["long"], c["t"]).otherwise(F.regexp_replace(c["t"], r"^\s+|\s+$", "")))
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(chunks).alias("chunk_id", "content"))
+    return docs.select(*keep, F.posexplode(F.filter(trimmed, lambda c: c != "")).alias("chunk_id", "content"))
 
 
 def merge_adjacent(chunks: DataFrame, size: int, key: str = "doc_id", order: str = "chunk_id") -> DataFrame:

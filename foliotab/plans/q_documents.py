@@ -163,7 +163,7 @@ def _(t):
 with c as (select conv_id, turn, coalesce(lag(text) over w, '') as p, coalesce(lead(text) over w, '') as n from conversations window w as (partition by conv_id order by turn))
 select conv_id, turn, md5(case when length(p) > 100 then substring(p, 1, cast(floor(length(p) * 0.5) as int)) else p end) as previous_context, md5(case when length(n) > 100 then substring(n, 1, cast(floor(length(n) * 0.5) as int)) else n end) as next_context from c""")
 def _(t):
-    c = D.with_context(t.conversations.select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", 200, 0.5, width=3)
+    c = D.with_context(t.conversations.select("conv_id", "turn", "text"), ["conv_id"], "turn", "text", 200, 0.5)
     return c.select("conv_id", "turn", F.md5("previous_context").alias("previous_context"), F.md5("next_context").alias("next_context"))
 
 

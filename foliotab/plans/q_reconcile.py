@@ -49,7 +49,7 @@ select l_suppkey, row_id, cast(price as double) as price, quoted, cast(variants
 def _(t):
     rid = F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 100 + F.col("l_linenumber")
     d = t.lineitem.select("l_suppkey", rid.alias("row_id"), F.col("l_extendedprice").cast(CENTS).alias("price"), (F.col("l_returnflag") != "N").alias("quoted"))
-    out = R.dedupe_numeric(d, ["l_suppkey"], "price", 20, quoted=F.col("quoted"), width=20_000)
+    out = R.dedupe_numeric(d, ["l_suppkey"], "price", 20, quoted=F.col("quoted"))
     return out.withColumn("price", F.col("price").cast("double"))
 
 

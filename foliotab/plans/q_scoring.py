@@ -83,7 +83,7 @@ select tool, question_id, cast(count(*) over w as bigint) as seen,
   round(cast(cast(sum(cast(coalesce(correct_num, case when correct_bool then 1 else 0 end) as decimal(18,6))) over w as double) / count(*) over w as double), 6) as running
 from scores window w as (partition by tool order by question_id rows unbounded preceding)""")
 def _(t):
-    return S.running_accuracy(scores(t), "question_id", width=64).select("tool", "question_id", "seen", "running")
+    return S.running_accuracy(scores(t), "question_id").select("tool", "question_id", "seen", "running")
 
 
 CI = """cast(count(*) as bigint) as n, round(avg({s}), 4) as mean, round(1.96 * stddev_pop({s}) / sqrt(count(*)), 4) as half_width,
@@ -288,7 +288,7 @@ def _(t):
 @query("g22_bucket_calls", """
 select conv_id, turn, role, cast(sum(case when role = 'system' then 1 else 0 end) over (partition by conv_id order by turn rows unbounded preceding) as bigint) as bucket from conversations""")
 def _(t):
-    return N.segments(t.conversations.select("conv_id", "turn", "role"), F.col("role") == "system", ["conv_id"], "turn", width=4)
+    return N.segments(t.conversations.select("conv_id", "turn", "role"), F.col("role") == "system", ["conv_id"], "turn")
 
 
 @query("g23_match_bucket", """

@@ -76,7 +76,7 @@ def _(t):
     one = F.concat(bad, F.lit('{"level": "user '), F.col("user_id").cast("string"), F.lit('", "message": "he said "'), "event_type", F.lit('"'))
     two = F.concat(F.lit("id "), k.cast("string"), F.lit('"}'))
     lines = t.events.select(F.col("event_type").alias("file"), F.inline(F.array(F.struct((k * 2).alias("line"), one.alias("text")), F.struct((k * 2 + 1).alias("line"), two.alias("text")))))
-    rows, errors = S.parse_multiline_log(lines, "level string, message string", width=1000)
+    rows, errors = S.parse_multiline_log(lines, "level string, message string")
     return rows.unionByName(errors.drop("preview"), allowMissingColumns=True)
 
 
@@ -160,7 +160,7 @@ def model_lines(t):
 select p_brand as model, 'Material' as obj_type, dense_rank() over (partition by p_brand order by p_partkey) - 1 as obj_idx, cast(i as int) as field_idx, ['Name', 'Field_2', 'Field_3', 'Thermal_Conductivity'][i + 1] as field_name,
   [p_name, cast(p_size as varchar), '', cast(p_partkey as varchar)][i + 1] as value from part, range(0, 4) r(i)""")
 def _(t):
-    return M.parse_model_lines(model_lines(t), width=600)
+    return M.parse_model_lines(model_lines(t))
 
 
 def dictionary(t, objects, csv):

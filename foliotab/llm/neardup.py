@@ -16,6 +16,8 @@ from foliotab.llm.words import mix, shingle_sets
 from foliotab.session import cut_lineage
 
 SKETCH = 256
+#: Texts whose full sets a worker holds at once.
+SOME = 128
 WEIGHTS = 1 << 16
 #: Share of a sketch that two linked sketches hold in common; four standard deviations below what the bound implies.
 COMMON = 0.70
@@ -183,26 +185,34 @@ def _sets(size: int, marks: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(marked(marks, batch.column(2).to_numpy())))
-            if len(batch):
-                values = [v.tobytes() for v in shingle_sets(batch.column(1), size)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.binary())], names=["node", "values"])
+            for at in range(0, len(batch), SOME):
+                part = batch.slice(at, SOME)
+                values = [v.tobytes() for v in shingle_sets(part.column(1), size)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, pa.binary())], names=["node", "values"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
 def _alike(threshold: float, sketch: int):
+    def linked(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = []
+        for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
+            a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
+            union = np.union1d(a[:sketch], b[:sketch])[:sketch]
+            both = np.isin(union, a[:sketch], assume_unique=True) & np.isin(union, b[:sketch], assume_unique=True)
+            if both.mean() < threshold - SLACK:
+                continue
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            if common >= threshold * (len(a) + len(b) - common) - 1e-9:
+                keep.append(i)
+        return batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (left, right) in enumerate(zip(batch.column(2), batch.column(3))):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (left, right))
-                union = np.union1d(a[:sketch], b[:sketch])[:sketch]
-                both = np.isin(union, a[:sketch], assume_unique=True) & np.isin(union, b[:sketch], assume_unique=True)
-                if both.mean() < threshold - SLACK:
-                    continue
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                if common >= threshold * (len(a) + len(b) - common) - 1e-9:
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            found = linked(batch)
+            del batch  # both sets of each pair, before the next ones come
+            pa.default_memory_pool().release_unused()
+            yield found
 
     return run

@@ -259,7 +259,8 @@ def _(t):
 
 
 @query("e24_run_plan", """
-with x as (select o_custkey, o_orderstatus, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as price from orders where o_custkey is not null group by o_custkey, o_orderstatus)
+with d as (select distinct o_custkey, o_orderstatus, cast(o_totalprice as decimal(18,2)) as price from orders where o_custkey is not null or o_orderstatus <> '' or o_totalprice is not null),
+x as (select o_custkey, o_orderstatus, cast(sum(price) as double) as price from d group by o_custkey, o_orderstatus)
 select o_custkey, arg_max(o_orderstatus, (price, o_orderstatus)) as o_orderstatus, max(price) as price from x group by o_custkey""")
 def _(t):
     d = t.orders.select(F.col("o_orderkey").alias("row_id"), "o_custkey", "o_orderstatus", F.col("o_totalprice").cast(CENTS).alias("price"))

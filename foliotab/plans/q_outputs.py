@@ -279,6 +279,10 @@ def _(t):
     return n.select("model", "loop", "side", F.size("components").cast("bigint").alias("components"), F.array_max(F.transform("components", lambda x: F.length(x["name"]))).alias("longest_name"), F.array_min(item).alias("first_item"))
 
 
+#: More than there are part keys, so that an object has a number of its own: supplier key * PARTS + part key.
+PARTS = 1 << 32
+
+
 def air(t):
     """Suppliers are air loops, their parts of line items the splitter outlets, orders the terminals."""
     k = F.col("s_suppkey").cast("string")
@@ -300,9 +304,9 @@ def air(t):
     br = li.filter("l_partkey % 5 = 0")
     named = lambda w: F.concat(F.lit(w), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))
     o = o.union(br.select(m.alias("model"), F.lit("BranchList").alias("obj_type"), F.col("l_suppkey").alias("obj_idx"), F.lit(9).alias("field_idx"), F.concat(F.lit("Branch_"), (F.col("l_partkey") + 1).cast("string"), F.lit("_Name")).alias("field_name"), named("br").alias("value")))
-    o = o.union(M.objects_from(br, m, "Branch", F.col("l_suppkey") * 1000000 + F.col("l_partkey"), {"Name": named("br"), "Component_1_Object_Type": F.lit("Coil"), "Component_1_Name": named("coil"), "Component_2_Object_Type": F.lit("Fan"), "Component_2_Name": F.when(F.col("l_partkey") % 10 == 0, "").otherwise(named("fan"))}))
+    o = o.union(M.objects_from(br, m, "Branch", F.col("l_suppkey") * PARTS + F.col("l_partkey"), {"Name": named("br"), "Component_1_Object_Type": F.lit("Coil"), "Component_1_Name": named("coil"), "Component_2_Object_Type": F.lit("Fan"), "Component_2_Name": F.when(F.col("l_partkey") % 10 == 0, "").otherwise(named("fan"))}))
     term = li.filter("l_partkey % 2 = 0")
-    e = M.objects_from(term, m, "AirTerminal:SingleDuct:VAV:Reheat", F.col("l_suppkey") * 1000000 + F.col("l_partkey"), {"Name": F.concat(F.lit("vav"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")), "Air_Inlet_Node_Name": F.concat(F.lit("Outlet"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))})
+    e = M.objects_from(term, m, "AirTerminal:SingleDuct:VAV:Reheat", F.col("l_suppkey") * PARTS + F.col("l_partkey"), {"Name": F.concat(F.lit("vav"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")), "Air_Inlet_Node_Name": F.concat(F.lit("Outlet"), F.col("l_suppkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string"))})
     return o.union(e)
 
 

@@ -263,7 +263,7 @@ def _(t):
 
 @query("g21_parse_summary", """
 with e as (select event_id, user_id % 7 as log, event_type, user_id, cast(round(value, 2) as decimal(10,2)) as v, min(event_id) over (partition by user_id % 7) as first_id from events),
-m as (select *, event_type = 'purchase' and user_id % 3 = 0 as sec, event_type = 'purchase' and user_id % 3 = 1 as sec2, event_type = 'click' as grp from e),
+m as (select *, event_id > first_id and event_type = 'purchase' and user_id % 3 = 0 as sec, event_id > first_id and event_type = 'purchase' and user_id % 3 = 1 as sec2, event_id > first_id and event_type = 'click' as grp from e),
 x as (select *, max(case when sec or sec2 then event_id end) over w as sec_at, last_value(case when sec then 'domain' when sec2 then 'level' end ignore nulls) over w as section,
   from m window w as (partition by log order by event_id rows unbounded preceding)),
 y as (select *, max(case when grp and section is not null then event_id end) over w as grp_at from x window w as (partition by log order by event_id rows unbounded preceding))

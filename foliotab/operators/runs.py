@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ordered
 from ..functions.matching import contains_join
+from ..session import cut_lineage
 
 # Event names of the call log.
 START, END, ERROR, FRAME = "llm_call_start", "llm_call_end", "llm_call_error", "dataframe_log"
@@ -66,16 +70,43 @@ def latency_tokens(events: DataFrame, by: Sequence[str], ms: str = "response_ms"
     """Latency and token use.
 
     Quantiles are approximate: a sketch per group, off by at most 1 / 10,000 of the group's rank. With ``approximate=False``
-    they are exact values of the data (lower nearest rank), which keeps a count of every distinct value of a group.
+    they are exact values of the data (lower nearest rank); see ``exact_quantiles``.
     """
-    quantile = (lambda p: F.percentile_approx(ms, p, 10_000)) if approximate else (lambda p: F.expr(f"percentile_disc({p}) within group (order by `{ms}`)"))
-    return events.groupBy(*by).agg(
-        F.count("*").alias("calls"),
-        quantile(0.5).alias("p50"),
-        quantile(0.95).alias("p95"),
-        F.max(ms).alias("worst"),
-        F.sum(tokens).alias("tokens"),
-    )
+    shares = {"p50": "0.5", "p95": "0.95"}
+    sketch = [F.percentile_approx(ms, float(p), 10_000).alias(n) for n, p in shares.items()] if approximate else []
+    out = events.groupBy(*by).agg(F.count("*").alias("calls"), *sketch, F.max(ms).alias("worst"), F.sum(tokens).alias("tokens"))
+    if not approximate:
+        out = _with_group(out, exact_quantiles(events, by, ms, shares), by)
+    return out.select(*by, "calls", *shares, "worst", "tokens")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Each row with the columns of its group; NULL is a group."""
+    named = groups.withColumnsRenamed({c: f"__by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"__by_{c}")) for c in by] or [F.lit(True)]
+    return rows.join(named, functools.reduce(operator.and_, same), "left").drop(*[f"__by_{c}" for c in by])
+
+
+def exact_quantiles(rows: DataFrame, by: Sequence[str], value: str, shares: Mapping[str, str], ranges: int = 32) -> DataFrame:
+    """(by…, shares…): the least value that has the share (a decimal number) of the group's values at or below it.
+
+    A sketch cuts the values of a group into ranges, which are ranked apart from each other and added up. The cuts only
+    spread the work: wherever they are, the ranks are exact. NULL values do not count.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)], 1_000).alias("__cuts"))
+    at = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    filled = _with_group(rows.select(*by, value).where(F.col(value).isNotNull()), cuts, by)
+    counts = cut_lineage(filled.groupBy(*by, at.alias("__range"), value).agg(F.count("*").alias("__n")))
+    whole = Window.partitionBy(*(by or [F.lit(0)]))
+    totals = counts.groupBy(*by, "__range").agg(F.sum("__n").alias("__n")).select(
+        *by, "__range", F.sum("__n").over(whole).alias("__all"),
+        F.coalesce(F.sum("__n").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
+    )
+    inside = Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = _with_group(counts.withColumn("__rank", F.sum("__n").over(inside)), totals, [*by, "__range"])
+    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
+    reached = lambda p: F.col("__rank") >= F.greatest(F.lit(1), F.ceil(F.col("__all") * F.lit(Decimal(p))).cast("bigint"))
+    return ranked.groupBy(*by).agg(*[F.min(F.when(reached(p), F.col(value))).alias(n) for n, p in shares.items()])
 
 
 def cost(calls: DataFrame, template_model: Mapping[str, str], prices: Mapping[str, tuple[float, float]], by: Sequence[str] = ("template",)) -> DataFrame:

@@ -346,7 +346,7 @@ select event_type, model, cast(count(*) as bigint) as calls, max(value) filter (
 from e group by event_type, model""")
 def _(t):
     e = t.events.select("event_type", (F.col("user_id") % 3).alias("model"), "value", F.get_json_object("props", "$.k").cast("bigint").alias("tokens"))
-    return N.latency_tokens(e, ["event_type", "model"], "value", "tokens")
+    return N.latency_tokens(e, ["event_type", "model"], "value", "tokens", approximate=False)
 
 
 @query("g29_cost", """

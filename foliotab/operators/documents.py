@@ -6,7 +6,7 @@ from line to line run on Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -16,7 +16,8 @@ from ..functions import folds, ordered
 from ..functions.text import bound
 from ..session import ship_by_value
 
-ship_by_value(folds.__name__)
+for _module in (__name__, folds.__name__):
+    ship_by_value(_module)
 
 
 def _lines(text: str | Column) -> Column:
@@ -109,6 +110,12 @@ def untag(chunks: DataFrame, content: str = "content", tables: str = "tables") -
     return chunks.withColumn(content, F.aggregate(tables, F.col(content), lambda acc, t: F.replace(acc, t["tag"], t["table_text"])))
 
 
+def _lists(texts: pa.Array, kind: pa.DataType, rows: Callable[[str], list[dict]], some: int = 64) -> pa.Array:
+    """A list of rows per text, a NULL one without any. Only some texts' rows are Python objects at a time."""
+    parts = [pa.array([rows(t.as_py()) if t.is_valid else [] for t in texts[at : at + some]], kind) for at in range(0, len(texts), some)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def split_headers(docs: DataFrame, text: str = "text", strip_headers: bool = False) -> DataFrame:
     """Sections at markdown headers; ``metadata`` maps "Header k" to the active title of that level.
 
@@ -119,8 +126,7 @@ def split_headers(docs: DataFrame, text: str = "text", strip_headers: bool = Fal
     @F.arrow_udf("array<struct<content string, metadata map<string, string>>>")
     def sections(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = (folds.header_sections(t.as_py(), strip_headers) if t.is_valid else () for t in texts)
-            yield pa.array([[{"content": c, "metadata": m} for c, m in r] for r in rows], kind)
+            yield _lists(texts, kind, lambda t: [{"content": c, "metadata": m} for c, m in folds.header_sections(t, strip_headers)])
 
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, F.posexplode(sections(F.col(text))).alias("section", "s")).select(*keep, "section", "s.content", "s.metadata")
@@ -137,8 +143,7 @@ def split_recursive(docs: DataFrame, text: str, size: int, overlap: int = 0) ->
     @F.arrow_udf("array<struct<t string, long boolean>>")
     def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = (folds.packed(t.as_py(), size, overlap) if t.is_valid else () for t in texts)
-            yield pa.array([[{"t": c, "long": x} for c, x in r] for r in rows], kind)
+            yield _lists(texts, kind, lambda t: [{"t": c, "long": x} for c, x in folds.packed(t, size, overlap)])
 
     trimmed = F.transform(chunks(F.col(text)), lambda c: F.when(c["long"], c["t"]).otherwise(F.regexp_replace(c["t"], r"^\s+|\s+$", "")))
     keep = [c for c in docs.columns if c != text]

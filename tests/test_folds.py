@@ -48,3 +48,26 @@ def test_long_documents_take_linear_time():
     assert sum(len(c) for c, _ in folds.packed(text, 400, 0)) == len(text)
     assert sum(len(c) for c, _ in folds.packed(text, 400, 100)) > len(text)
     assert time.time() - t0 < 10
+
+
+def test_rows_of_some_texts_at_a_time():
+    """No more texts' rows than asked for are Python objects at once."""
+    import gc
+
+    import pyarrow as pa
+
+    from foliotab.operators.documents import _lists
+
+    class Row(dict):
+        pass
+
+    seen = []
+
+    def rows(text):
+        seen.append(sum(isinstance(x, Row) for x in gc.get_objects()))
+        return [Row(t=w) for w in text.split()]
+
+    texts = pa.array([f"a b{i} c" for i in range(300)] + [None, ""])
+    got = _lists(texts, pa.list_(pa.struct([("t", pa.string())])), rows, some=20)
+    assert got.to_pylist() == [[{"t": w} for w in (t or "").split()] for t in texts.to_pylist()]
+    assert max(seen) <= 2 * 20 * 3

@@ -16,10 +16,36 @@ from ..session import ship_by_value
 
 ship_by_value(__name__)
 
-BLOCK = 2048
+BLOCK = 8192
+#: Queries of a block whose similarities are held at once, and candidates that give one maximum.
+STRIP = 512
+RUN = 64
 DIGITS = 9
 
 
+def _nearest(x: np.ndarray, ids_a: np.ndarray, y: np.ndarray, ids_b: np.ndarray, k: int, cut: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, similarity) of the k best candidates per query, ties to the smaller id.
+
+    The k-th largest maximum of runs of candidates is a lower bound of the k-th similarity, so only the few pairs from it on
+    are rounded and sorted.
+    """
+    sim = x @ y.T
+    if cut is not None:
+        sim[ids_a[:, None] == ids_b[None, :]] = -np.inf
+    tops = np.maximum.reduceat(sim, np.arange(0, sim.shape[1], RUN if sim.shape[1] >= k * RUN else 1), axis=1)
+    bound = np.partition(tops, tops.shape[1] - k, axis=1)[:, tops.shape[1] - k] if tops.shape[1] >= k else np.full(len(x), -np.inf)
+    if cut is not None:
+        bound = np.maximum(bound, cut)
+    row, at = np.divmod(np.flatnonzero(sim >= (bound - 2 * 10.0**-DIGITS)[:, None]), sim.shape[1])
+    value, other = np.round(sim[row, at], DIGITS), ids_b[at]
+    ok = np.isfinite(value) if cut is None else value >= cut
+    row, value, other = row[ok], value[ok], other[ok]
+    order = np.lexsort((other, -value, row))
+    row = row[order]
+    order, row = (z[np.arange(len(row)) - np.searchsorted(row, row) < k] for z in (order, row))
+    return ids_a[row], other[order], value[order]
+
+
 def _blocked(left: DataFrame, right: DataFrame, k: int, schema: str, cut: float | None) -> DataFrame:
     keys = ["__g", "__lb", "__rb"]
 
@@ -30,19 +56,13 @@ def _blocked(left: DataFrame, right: DataFrame, k: int, schema: str, cut: float
         x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["r_v"].to_numpy()).astype(np.float64)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-300)
-        sim = np.round(x @ y.T, DIGITS)
         ids_a, ids_b = a["id"].to_numpy(), b["r_id"].to_numpy()
-        if cut is not None:
-            sim[ids_a[:, None] == ids_b[None, :]] = -np.inf
-            sim[sim < cut] = -np.inf
-        # ties go to the smaller id: order the columns by id and sort stably
-        by_id = np.argsort(ids_b, kind="stable")
-        pick = by_id[np.argsort(-sim[:, by_id], axis=1, kind="stable")[:, :k]]
-        rows = np.repeat(np.arange(len(ids_a)), pick.shape[1])
-        flat = pick.ravel()
-        values = sim[rows, flat]
-        ok = np.isfinite(values)
-        return pd.DataFrame({"__g": a["__g"].iloc[0], "query_id": ids_a[rows][ok], "vec_id": ids_b[flat][ok], "similarity": values[ok]})
+        # a vector with a component that is no number is near nothing
+        good_a, good_b = np.isfinite(x).all(axis=1), np.isfinite(y).all(axis=1)
+        x, ids_a, y, ids_b = x[good_a], ids_a[good_a], y[good_b], ids_b[good_b]
+        found = [_nearest(x[i : i + STRIP], ids_a[i : i + STRIP], y, ids_b, k, cut) for i in range(0, len(x), STRIP)] if len(y) else []
+        columns = [np.concatenate(c) for c in zip(*found)] or [ids_a[:0], ids_b[:0], np.zeros(0)]
+        return pd.DataFrame({"__g": a["__g"].iloc[0], **dict(zip(cols[1:], columns))})
 
     # fresh column names, as both sides may come from one table
     other = right.toDF(*[f"r_{c}" for c in right.columns])

@@ -7,7 +7,7 @@ import operator
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,20 +55,32 @@ def dedupe_numeric(
 ) -> DataFrame:
     """One row per run of near-equal numbers (neighbours at most ``tol`` apart).
 
-    Kept is the number with most digits, then quoted over approximate, then literal over computed.
+    Kept is the number with most digits, then quoted over approximate, then literal over computed. Rows are shuffled once,
+    by spans of the numbers; there they become runs. Only the first and last run of a span may go on in another one.
     """
-    d = ordered.neighbours(df, keys, value, previous={"__prev": F.col(value)}, ties=[row_id], width=width)
-    jump = F.when(F.col("__prev").isNull() | (F.col(value) - F.col("__prev") > tol), 1).otherwise(0)
-    d = ordered.running_sum(d.withColumn("__jump", jump).drop("__prev"), keys, value, {"__run": F.col("__jump")}, [row_id], width)
     score = F.struct(
         significant_digits(F.col(value), df.schema[value].dataType).alias("digits"),
         (quoted if quoted is not None else F.lit(False)).alias("quoted"),
         (literal if literal is not None else F.lit(False)).alias("literal"),
         (-F.col(row_id)).alias("first"),
     )
-    size = d.groupBy(*keys, "__run").agg(F.count("*").alias("variants"))
-    best = ordered.best_row(d.drop("__jump"), [*keys, "__run"], score)
-    return best.join(size, [*keys, "__run"]).drop("__run")
+    span, others = ordered.SPAN, [c for c in df.columns if c not in keys]
+    inside = Window.partitionBy(*keys, span).orderBy(value, row_id)
+    new = lambda x, before: F.coalesce(x - before > tol, F.lit(True)).cast("int")
+    d = ordered.with_span(df, value, width).withColumns({"__prev": F.lag(value).over(inside), "__last": F.lead(F.lit(0)).over(inside).isNull()})
+    d = d.withColumn("__run", F.sum(new(F.col(value), F.col("__prev"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    best = lambda row, by: F.max_by(row, by).alias("__row")
+    runs = d.groupBy(*keys, span, "__run").agg(
+        best(F.struct(*others), score), F.max(score).alias("__score"), F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.max("__last").alias("__last"), F.count("*").alias("variants")
+    )
+    edge = (F.col("__run") == 1) | F.col("__last")
+    along = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(span, "__run")
+    apart = F.when(F.lag(span).over(along).eqNullSafe(F.col(span)), 1).otherwise(new(F.col("__lo"), F.lag("__hi").over(along)))
+    edges = runs.filter(edge).withColumn("__new", apart)
+    edges = edges.withColumn("__run", F.sum("__new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = edges.groupBy(*keys, "__run").agg(best("__row", "__score"), F.sum("variants").alias("variants"))
+    out = [*keys, *[F.col(f"__row.{c}").alias(c) for c in others], "variants"]
+    return runs.filter(~edge).select(*out).unionByName(edges.select(*out))
 
 
 def dedupe_text(df: DataFrame, keys: Sequence[str], text: str, literal: Column | None = None) -> DataFrame:

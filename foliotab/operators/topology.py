@@ -52,7 +52,7 @@ def numbered_items(objects: DataFrame, patterns: Mapping[str, str]) -> DataFrame
     n = F.lit(None).cast("int")
     for kind, pattern in patterns.items():
         n = F.when(F.col("obj_type") == kind, F.regexp_extract("field_name", pattern, 1).try_cast("int")).otherwise(n)
-    key = ["model", "obj_type", "obj_idx"]
+    key = ["obj_idx", "model", "obj_type"]
     o = objects.filter(F.col("obj_type").isin(list(patterns))).select(*key, n.alias("seq"), "field_name", "value")
     heads = o.groupBy(*key).agg(F.max(F.when(F.col("field_name") == "Name", F.col("value"))).alias("name"), F.min(F.when(F.trim("value") == "", F.col("seq"))).alias("__gap"))
     items = o.filter("seq is not null").join(heads.filter("name is not null"), key)
@@ -68,18 +68,24 @@ def list_items(objects: DataFrame, list_type: str, pattern: str) -> DataFrame:
 def components(objects: DataFrame, owner_type: str | Sequence[str], stop_at_blank: bool = True) -> DataFrame:
     """Component_i_* fields of branches and paths: (model, owner_type, owner, seq, type, name, inlet, outlet).
 
-    Fields are spread to rows once, so an object may have any number of components.
+    Fields are spread to rows once, so an object may have any number of components. They are sorted where they meet, not
+    before they are shuffled; the components are written once, for the objects' names and ends and for the result.
     """
     kinds = [owner_type] if isinstance(owner_type, str) else list(owner_type)
-    key = ["model", "obj_type", "obj_idx"]
-    pattern = r"^Component_(\d+)_(.+)$"
+    key = ["obj_idx", "model", "obj_type"]  # sorts compare the numbers first
+    lead = F.substring_index("field_name", "_", 2)
+    number, part = F.substring(lead, 11, 100), F.substr("field_name", F.length(lead) + 2)
+    numbered = F.col("field_name").startswith("Component_") & (F.translate(number, "0123456789", "") == "") & (part != "")
     o = objects.filter(F.col("obj_type").isin(kinds))
-    o = o.select(*key, F.regexp_extract("field_name", pattern, 1).try_cast("int").alias("seq"), F.regexp_extract("field_name", pattern, 2).alias("part"), "field_name", "value")
+    o = o.select(*key, F.when(numbered, number.try_cast("int")).alias("seq"), F.when(numbered, part).otherwise(F.col("field_name")).alias("part"), "value")
     pick = lambda p: F.max(F.when(F.col("part") == p, F.col("value")))
-    c = o.filter("seq is not null or field_name = 'Name'").groupBy(*key, "seq").agg(
+    named = F.col("seq").isNull() & (F.col("part") == "Name")
+    used = o.filter(named | (F.col("seq").isNotNull() & F.col("part").isin("Object_Type", "Name", "Inlet_Node_Name", "Outlet_Node_Name")))
+    c = used.repartition(*key, "seq").groupBy(*key, "seq").agg(
         pick("Object_Type").alias("type"), pick("Name").alias("name"), pick("Inlet_Node_Name").alias("inlet"), pick("Outlet_Node_Name").alias("outlet"),
-        F.max(F.when(F.col("field_name") == "Name", F.col("value"))).alias("own"),
+        F.max(F.when(named, F.col("value"))).alias("own"),
     )
+    c = cut_lineage(c)
     blank = F.col("seq").isNotNull() & ((F.coalesce("type", F.lit("")) == "") | (F.coalesce("name", F.lit("")) == ""))
     heads = c.groupBy(*key).agg(F.max("own").alias("owner"), F.min(F.when(blank, F.col("seq"))).alias("__gap")).filter("owner is not null")
     c = c.filter("seq is not null").join(heads, key)
@@ -88,11 +94,18 @@ def components(objects: DataFrame, owner_type: str | Sequence[str], stop_at_blan
     return c.select("model", F.col("obj_type").alias("owner_type"), "owner", "seq", "type", "name", "inlet", "outlet")
 
 
-def branches(objects: DataFrame) -> DataFrame:
-    """Branch lists to components in order: (model, list_name, branch_seq, branch, seq, type, name, inlet, outlet)."""
+def branches(objects: DataFrame, held: DataFrame | None = None, owners: DataFrame | None = None) -> DataFrame:
+    """Branch lists to components in order: (model, list_name, branch_seq, branch, seq, type, name, inlet, outlet).
+
+    Branches are among the objects, or in a table ``held`` of their own. ``owners(model, list_name, ...)`` are joined to the
+    lists, which are few rows, before the components are.
+    """
     b = list_items(objects, "BranchList", r"^Branch_(\d+)_Name$").withColumnsRenamed({"seq": "branch_seq", "item": "branch"})
-    c = components(objects, "Branch").drop("owner_type").withColumnRenamed("owner", "branch")
-    return b.join(c, ["model", "branch"], "left").select("model", "list_name", "branch_seq", "branch", "seq", "type", "name", "inlet", "outlet")
+    if owners is not None:
+        b = owners.join(b, ["model", "list_name"])
+    c = components(objects if held is None else held, "Branch").drop("owner_type").withColumnRenamed("owner", "branch")
+    own = [x for x in b.columns if x not in ("model", "list_name", "branch_seq", "branch")]
+    return b.join(c, ["model", "branch"], "left").select("model", "list_name", *own, "branch_seq", "branch", "seq", "type", "name", "inlet", "outlet")
 
 
 def connectors(objects: DataFrame) -> DataFrame:
@@ -119,18 +132,20 @@ PLANT_SIDES = {
 }
 
 
-# The objects that hold branches and connectors.
-PLANT_PARTS = ("BranchList", "Branch", "ConnectorList", "Connector:Splitter", "Connector:Mixer")
+# The objects that list branches and connectors.
+PLANT_PARTS = ("BranchList", "ConnectorList", "Connector:Splitter", "Connector:Mixer")
 
 
 def plant_topology(objects: DataFrame, loop_type: str = "PlantLoop", sides: Mapping[str, tuple[str, str]] = PLANT_SIDES) -> tuple[DataFrame, DataFrame]:
-    """Components and connector edges of every loop by side. The objects needed are written once and read from there."""
-    objects = cut_lineage(objects.filter(F.col("obj_type").isin([loop_type, *PLANT_PARTS])))
+    """Components and connector edges of every loop by side. Lists and connectors are written once and read from there; the
+    branches, by far the most, are read once and need not be.
+    """
+    all_objects, objects = objects, cut_lineage(objects.filter(F.col("obj_type").isin([loop_type, *PLANT_PARTS])))
     fields = [f for pair in sides.values() for f in pair]
     v = objects_of(objects, [loop_type], ["Name", *fields])
     pairs = F.array(*[F.struct(F.lit(s).alias("side"), F.col(b).alias("branch_list"), F.col(c).alias("connector_list")) for s, (b, c) in sides.items()])
     v = v.select("model", F.col("Name").alias("loop"), F.inline(pairs))
-    comp = v.join(branches(objects).withColumnRenamed("list_name", "branch_list"), ["model", "branch_list"])
+    comp = branches(objects, all_objects, v.withColumnRenamed("branch_list", "list_name")).withColumnRenamed("list_name", "branch_list")
     edge = v.join(connectors(objects).withColumnRenamed("list_name", "connector_list"), ["model", "connector_list"])
     return comp.drop("connector_list"), edge.drop("branch_list")
 

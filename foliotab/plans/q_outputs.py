@@ -192,10 +192,10 @@ def plant(t):
     d = t.orders.join(c, F.col("o_custkey") == F.col("c_custkey"))
     comp = lambda part: F.concat(F.lit("Component_"), (F.col("o_orderkey") + 1).cast("string"), F.lit("_" + part))
     k = F.col("o_orderkey").cast("string")
-    o = o.union(field(d, "Branch", F.col("c_custkey"), comp("Object_Type"), F.col("o_orderpriority")))
-    o = o.union(field(d, "Branch", F.col("c_custkey"), comp("Name"), F.when(F.col("o_totalprice") > 495000, "").otherwise(F.concat(F.lit("O"), k))))
-    o = o.union(field(d, "Branch", F.col("c_custkey"), comp("Inlet_Node_Name"), F.concat(F.lit("in"), k)))
-    return o.union(field(d, "Branch", F.col("c_custkey"), comp("Outlet_Node_Name"), F.concat(F.lit("out"), k)))
+    values = {"Object_Type": F.col("o_orderpriority"), "Name": F.when(F.col("o_totalprice") > 495000, "").otherwise(F.concat(F.lit("O"), k)), "Inlet_Node_Name": F.concat(F.lit("in"), k), "Outlet_Node_Name": F.concat(F.lit("out"), k)}
+    fields = F.array(*[F.struct(comp(part).alias("field_name"), v.alias("value")) for part, v in values.items()])
+    d = d.select("model", F.lit("Branch").alias("obj_type"), F.col("c_custkey").cast("bigint").alias("obj_idx"), F.lit(1).alias("field_idx"), F.inline(fields))
+    return o.union(d)
 
 
 PLANT = """

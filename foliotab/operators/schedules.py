@@ -172,12 +172,16 @@ def as_array(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("minute", "value"))).alias("points"))
 
 
-def expand_hours(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """24 values: the last point at or before each hour, the first value before that (an as-of join)."""
+def _hour_values() -> Column:
+    """(hour, value) of 24 hours from ``points``."""
     at_or_before = lambda h: F.filter("points", lambda p: p["minute"] <= h * 60)
     value = lambda h: F.coalesce(F.try_element_at(at_or_before(h), F.lit(-1))["value"], F.col("points")[0]["value"])
-    hours = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(h.alias("hour"), value(h).alias("value")))
-    return as_array(points, keys).select(*keys, F.inline(hours))
+    return F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.struct(h.alias("hour"), value(h).alias("value")))
+
+
+def expand_hours(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """24 values: the last point at or before each hour, the first value before that (an as-of join)."""
+    return as_array(points, keys).select(*keys, F.inline(_hour_values()))
 
 
 def rle_hours(hours: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -226,36 +230,53 @@ def from_points(points: DataFrame, keys: Sequence[str], target: str) -> DataFram
     An interval object holds ``INTERVAL_PAIRS`` points. A day of more, once points that repeat the value before them are
     left out, becomes one row with field_idx -1 and field_name ``error``; it is never cut short.
     """
+    return from_points_to(points, keys, {target: target}).drop("target")
+
+
+def from_points_to(points: DataFrame, keys: Sequence[str], targets: Mapping[str, str]) -> DataFrame:
+    """``from_points`` for several schedule types by the name that ``target`` gives them; a day's points are gathered once."""
+    parts = F.array(*[F.struct(F.lit(name).alias("target"), _fields(kind).alias("fields")) for name, kind in targets.items()])
+    rows = as_array(points, keys).select(*keys, F.inline(parts)).select(*keys, "target", F.inline("fields"))
+    return rows.select(*keys, *FIELDS, "target")
+
+
+FIELDS = ("field_idx", "field_name", "value")
+
+
+def _field(at: Column, name: Column, value: Column) -> Column:
+    return F.struct(*[c.alias(n) for c, n in zip((at.cast("int"), name, value.cast("string")), FIELDS)])
+
+
+def _fields(target: str) -> Column:
+    """Array of the fields that the ``points`` of a day give."""
+    numbered = lambda before, i, after="": F.concat(F.lit(before), i.cast("string"), F.lit(after))
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))  # noqa: E731  (not anew for each element of an array)
+    points = F.col("points")
     if target == "Schedule:Constant":
-        n = points.groupBy(*keys, "value").agg(F.count("*").alias("n"))
-        mode = n.groupBy(*keys).agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("v"))
-        return mode.select(*keys, F.lit(0).alias("field_idx"), F.lit("Hourly_Value").alias("field_name"), F.col("v").cast("string").alias("value"))
+        # of the values used most the smallest, from the lengths of equal runs; 0 added makes one zero of both
+        starts = lambda values: F.filter(F.sequence(F.lit(0), F.size(values) - 1), lambda i: (i == 0) | ~F.get(values, i).eqNullSafe(F.get(values, i - 1)))
+        run = lambda values, at, s, i: F.struct(F.coalesce(F.get(at, i + 1), F.size(values)) - s, -F.get(values, s), F.get(values, s).alias("value"))
+        runs = lambda values: once(starts(values), lambda at: F.transform(at, lambda s, i: run(values, at, s, i)))
+        most = once(F.array_sort(F.transform(points, lambda p: p["value"] + F.lit(0))), lambda values: F.array_max(runs(values))["value"])
+        return F.array(_field(F.lit(0), F.lit("Hourly_Value"), most))
     if target == "Schedule:Day:Hourly":
-        h = expand_hours(points, keys)
-        return h.select(*keys, F.col("hour").alias("field_idx"), F.concat(F.lit("Hour_"), (F.col("hour") + 1).cast("string"), F.lit("_Value")).alias("field_name"), F.col("value").cast("string").alias("value"))
-    arr = as_array(points, keys)
+        return F.transform(_hour_values(), lambda h: _field(h["hour"], numbered("Hour_", h["hour"] + 1, "_Value"), h["value"]))
     if target == "Schedule:Day:Interval":
-        last = F.size("points") - 1
-        turns = F.filter("points", lambda p, i: (i == 0) | (i == last) | ~F.get("points", i + 1)["value"].eqNullSafe(p["value"]))
-        arr = arr.withColumn("points", F.when(F.size("points") > INTERVAL_PAIRS, turns).otherwise(F.col("points")))
-        long = F.size("points") > INTERVAL_PAIRS
-        said = F.concat(F.size("points").cast("string"), F.lit(f" points; the object holds {INTERVAL_PAIRS}"))
-        errors = arr.filter(long).select(*keys, F.lit(-1).alias("field_idx"), F.lit("error").alias("field_name"), said.alias("value"))
-        arr = arr.filter(~long)
-        p = arr.select(*keys, F.posexplode("points").alias("i", "p"))
-        n = (F.col("i") + 1).cast("string")
-        rows = F.array(
-            F.struct((F.col("i") * 2 + 1).alias("field_idx"), F.concat(F.lit("Time_"), n).alias("field_name"), clock(F.col("p.minute")).alias("value")),
-            F.struct((F.col("i") * 2 + 2).alias("field_idx"), F.concat(F.lit("Value_Until_Time_"), n).alias("field_name"), F.col("p.value").cast("string").alias("value")),
-        )
-        head = arr.select(*keys, F.lit(0).alias("field_idx"), F.lit("Interpolate_to_Timestep").alias("field_name"), F.lit("No").alias("value"))
-        return head.unionByName(p.select(*keys, F.inline(rows))).unionByName(errors)
+        last = F.size(points) - 1
+        turns = F.filter(points, lambda p, i: (i == 0) | (i == last) | ~F.get(points, i + 1)["value"].eqNullSafe(p["value"]))
+        kept = F.when(F.size(points) > INTERVAL_PAIRS, turns).otherwise(points)
+        said = lambda kept: F.concat(F.size(kept).cast("string"), F.lit(f" points; the object holds {INTERVAL_PAIRS}"))
+        pairs = lambda kept: F.transform(kept, lambda p, i: F.array(
+            _field(i * 2 + 1, numbered("Time_", i + 1), clock(p["minute"])),
+            _field(i * 2 + 2, numbered("Value_Until_Time_", i + 1), p["value"]),
+        ))
+        head = F.array(_field(F.lit(0), F.lit("Interpolate_to_Timestep"), F.lit("No")))
+        error = lambda kept: F.array(_field(F.lit(-1), F.lit("error"), said(kept)))
+        return once(kept, lambda kept: F.when(F.size(kept) > INTERVAL_PAIRS, error(kept)).otherwise(F.concat(head, F.flatten(pairs(kept)))))
     if target == "Schedule:Compact":
-        until = F.transform("points", lambda p: F.concat(F.lit("Until: "), clock(p["minute"]), F.lit(","), p["value"].cast("string")))
+        until = F.transform(points, lambda p: F.concat(F.lit("Until: "), clock(p["minute"]), F.lit(","), p["value"].cast("string")))
         # fixed values: weekday pattern, weekend off
         head = F.array(F.lit("Through: 12/31"), F.lit("For: WeekDays SummerDesignDay CustomDay1 CustomDay2"))
         tail = F.array(F.lit("For: Weekends WinterDesignDay Holiday"), F.lit("Until: 24:00,0.0"))
-        out = arr.select(*keys, F.posexplode(F.concat(head, until, tail)).alias("field_idx", "value"))
-        return out.withColumn("field_name", F.concat(F.lit("Field_"), (F.col("field_idx") + 1).cast("string")))
+        return F.transform(F.concat(head, until, tail), lambda v, i: _field(i, numbered("Field_", i + 1), v))
     raise ValueError(f"unsupported schedule type {target}")
-

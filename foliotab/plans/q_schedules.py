@@ -146,10 +146,5 @@ union all select distinct 'compact', user_id, day, 1, 'Field_2', 'For: WeekDays
 union all select 'compact', user_id, day, count(*) + 2, 'Field_' || (count(*) + 3), 'For: Weekends WinterDesignDay Holiday' from p group by user_id, day
 union all select 'compact', user_id, day, count(*) + 3, 'Field_' || (count(*) + 4), 'Until: 24:00,0.0' from p group by user_id, day""")
 def _(t):
-    p = points(t)
     kinds = {"constant": "Schedule:Constant", "hourly": "Schedule:Day:Hourly", "interval": "Schedule:Day:Interval", "compact": "Schedule:Compact"}
-    parts = [H.from_points(p, KEYS, k).withColumn("target", F.lit(n)) for n, k in kinds.items()]
-    out = parts[0]
-    for q in parts[1:]:
-        out = out.unionByName(q)
-    return out.withColumn("field_idx", F.col("field_idx").cast("bigint"))
+    return H.from_points_to(points(t), KEYS, kinds).withColumn("field_idx", F.col("field_idx").cast("bigint"))

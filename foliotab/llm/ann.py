@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ TARGET = 0.97
 TRIALS = 256
 DEGREE = 24
 BEAM = 32
+#: One of so many entries, of the sample's, bounds the scores that a list sends on.
+BOUND_SHARE = 8
 
 
 def usable(vector: Column) -> Column:
@@ -59,16 +61,19 @@ class Centroids:
         ids = np.broadcast_to(self.start, (b, len(self.start))).copy()
         dist = self.distances(vectors, ids)
         open_ = np.ones(ids.shape, bool)
-        rows = np.arange(b)
+        steps = max(1, width // 16)
         while True:
             best = np.where(open_, dist, np.inf)
-            pick = best.argmin(1)
-            live = np.isfinite(best[np.arange(len(rows)), pick])
-            if not live.any():
+            many = min(steps, best.shape[1])
+            pick = np.argpartition(best, many - 1, axis=1)[:, :many]
+            live = np.isfinite(np.take_along_axis(best, pick, 1))
+            chosen = np.flatnonzero(live.any(1))
+            if not len(chosen):
                 break
-            chosen = np.flatnonzero(live)
-            open_[chosen, pick[chosen]] = False
-            new = self.links[ids[chosen, pick[chosen]]]
+            pick, live = pick[chosen], live[chosen]
+            open_[chosen[:, None], pick] &= ~live
+            near = ids[chosen[:, None], np.where(live, pick, best[chosen].argmin(1)[:, None])]
+            new = self.links[near].reshape(len(chosen), -1)
             merged = np.concatenate([ids[chosen], new], 1)
             gap = np.concatenate([dist[chosen], self.distances(vectors[chosen], new)], 1)
             fresh = np.concatenate([open_[chosen], np.ones(new.shape, bool)], 1)
@@ -136,6 +141,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     are dealt in pages of about ``PAGE_ROWS`` so that none grows beyond a task. A query reads the lists within a ratio of
     the distance to its nearest centroid, set on the sample so that ``target`` of its true neighbours are within it;
     queries are dealt in blocks as well. With at most ``list_rows`` entries there is one list and the answer is exact.
+
+    A list sends on the best of its entries only, and, but for a query's nearest lists, only those that reach the
+    query's ``k`` + 1st best score among a share of the sample: no other entry can be among the nearest. Vectors travel as
+    bytes, and scores under a query's number and hash.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where(F.col("id").isNotNull() & usable(F.col("v")))
     ranked = Window.partitionBy("h", "v").orderBy("id")
@@ -143,6 +152,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     entries = rows.select("h", "v", "id").distinct().withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= k + 1)
     entries = cut_lineage(entries.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")))  # k + 1 at most
     asked = rows.where(F.coalesce("q", F.lit(False))).select("h", "v", F.col("id").alias("query_id")).distinct()
+    queries = cut_lineage(asked.groupBy("h", "v").agg(F.min("query_id").alias("query")))
     size = entries.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("top")).first()
     empty = "query_id long, rank int, vec_id long, score double"
     if not size["n"]:
@@ -152,13 +162,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     centroids = Centroids(fit_centroids(_lifted(sample, size["top"]), n_lists))
     ratio, usual, probes = fit_ratio(centroids, sample, size["top"], k, target)
 
-    lists = entries.mapInArrow(_dealt(centroids, size["top"], COPIES, COPY_RATIO), "list int, h long, v array<double>, ids array<long>")
+    seeds = sample[: max(k + 1, size["n"] // BOUND_SHARE)]
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+
+    lists = entries.mapInArrow(_dealt(centroids, size["top"], COPIES, COPY_RATIO), "list int, h long, v binary, ids array<long>")
     lists = cut_lineage(lists)
     sizes = np.zeros(n_lists, np.int64)
     for row in lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():
         sizes[row["list"]] = row["n"]  # n_lists rows at most
-    probed = asked.select("h", "v").distinct().mapInArrow(_probed(centroids, probes, ratio, usual, sizes, COPIES * (k + 1)), "list int, h long, v array<double>")
-    probed = cut_lineage(probed)
+    probe = _probed(centroids, probes, ratio, usual, sizes, COPIES * (k + 1), seeds, k + 1)
+    probed = cut_lineage(queries.repartition(tasks, "h", "query").mapInArrow(probe, "list int, h long, query long, v binary, floor double"))
     pages = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).cast("int").alias("pages"))
     blocks = probed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / PAGE_ROWS).cast("int").alias("blocks"))
     parts = F.broadcast(pages.join(blocks, "list"))  # a row for each list, of which there are MOST_LISTS at most
@@ -166,11 +179,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     left = lists.join(parts, "list").withColumn("page", F.pmod("h", "pages").cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     right = probed.join(parts, "list").withColumn("block", F.pmod("h", "blocks").cast("int")).withColumn("page", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
     keys = ["list", "page", "block"]
-    near = left.select(*keys, "v", "ids").groupBy(*keys).cogroup(right.select(*keys, "h", "v").groupBy(*keys))
-    found = near.applyInPandas(_scored(k + 1), "h long, v array<double>, vec_id long, score double, ids array<long>")
-    best = Window.partitionBy("h", "v").orderBy(F.desc("score"), "vec_id")
-    found = found.dropDuplicates(["h", "v", "vec_id"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
-    named = asked.join(found, ["h", "v"]).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    near = left.select(*keys, "v", "ids").groupBy(*keys).cogroup(right.select(*keys, "h", "query", "v", "floor").groupBy(*keys))
+    found = near.applyInArrow(_scored(k + 1), "h long, query long, vec_id long, score double, ids array<long>")
+    best = Window.partitionBy("h", "query").orderBy(F.desc("score"), "vec_id")
+    # an entry comes from up to COPIES lists
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= COPIES * (k + 1)).drop("r").dropDuplicates(["h", "query", "vec_id"])
+    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k + 1)
+    named = asked.join(queries, ["h", "v"]).select("h", "query", "query_id").join(found, ["h", "query"]).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return named.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -183,56 +198,85 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy().reshape(len(column), -1)
 
 
+def _bytes(v: np.ndarray) -> pa.Array:
+    """Rows of doubles as binary values."""
+    width = v.shape[1] * 8
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, pa.py_buffer(np.arange(0, (len(v) + 1) * width, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(v).tobytes())])
+
+
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
 def _dealt(centroids: Centroids, top: float, copies: int, ratio: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                ids, dist = centroids.search(_lifted(_matrix(part.column(1)), top).astype(np.float32), copies)
+                v = _matrix(part.column(1))
+                ids, dist = centroids.search(_lifted(v, top).astype(np.float32), copies)
                 row, place = np.nonzero(np.sqrt(dist) <= ratio * np.sqrt(dist[:, :1]) + 1e-9)
-                taken = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, place], pa.int32()), *taken.columns], names=["list", "h", "v", "ids"])
+                h, _, members = part.take(pa.array(row)).columns
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, place], pa.int32()), h, _bytes(v[row]), members], names=["list", "h", "v", "ids"])
 
     return run
 
 
-def _probed(centroids: Centroids, probes: int, ratio: float, usual: float, sizes: np.ndarray, least: int):
-    """The lists within the ratio, and in any case the nearest ones until they hold ``least`` entries."""
+def _floors(v: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` th best score of each vector among the seeds, less what rounding may add."""
+    if len(seeds) < k:
+        return np.full(len(v), -np.inf)
+    margin = 1e-9 * np.sqrt((v**2).sum(1) * (seeds**2).sum(1).max())
+    return np.partition(v @ seeds.T, len(seeds) - k, axis=1)[:, len(seeds) - k] - margin
+
+
+def _probed(centroids: Centroids, probes: int, ratio: float, usual: float, sizes: np.ndarray, least: int, seeds: np.ndarray, k: int):
+    """The lists within the ratio, and in any case the nearest ones until they hold ``least`` entries, which no floor bounds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                h, query = part.column(0), part.column(2)
                 v = _matrix(part.column(1))
                 lifted = np.concatenate([v, np.zeros((len(v), 1))], 1).astype(np.float32)
                 ids, dist = centroids.search(lifted, probes + probes // 4, max(BEAM, probes + probes // 4))
                 before = np.cumsum(sizes[ids], axis=1) - sizes[ids]
                 reach = np.sqrt(dist) <= ratio * np.maximum(np.sqrt(dist[:, :1]), usual) + 1e-9
                 row, place = np.nonzero((reach | (before < least)) & np.isfinite(dist))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row, place], pa.int32()), *part.take(pa.array(row)).columns], names=["list", "h", "v"])
+                floor = np.where(before < least, -np.inf, _floors(v, seeds, k)[:, None])[row, place]
+                at_row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row, place], pa.int32()), h.take(at_row), query.take(at_row), _bytes(v[row]), pa.array(floor)], names=["list", "h", "query", "v", "floor"])
 
     return run
 
 
 def _scored(k: int):
-    """The ``k`` best entries of a page for each query of a block."""
+    """The ``k`` best entries of a page, of those that reach its floor, for each query of a block."""
+    names = ["h", "query", "vec_id", "score", "ids"]
 
-    def run(page: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"h": [], "v": [], "vec_id": [], "score": [], "ids": []}
+    def run(page: pa.Table, queries: pa.Table) -> pa.Table:
+        out = []
         if len(page) and len(queries):
-            vectors, members = np.stack(page["v"].to_numpy()), page["ids"].to_numpy()
-            first = np.array([i[0] for i in members])
-            for at in range(0, len(queries), 256):
-                part = queries.iloc[at : at + 256]
-                scores = np.einsum("qd,vd->qv", np.stack(part["v"].to_numpy()), vectors)
-                order = np.lexsort((np.broadcast_to(first, scores.shape), -scores), axis=1)[:, :k]
-                flat = order.ravel()
-                out["h"].extend(np.repeat(part["h"].to_numpy(), order.shape[1]))
-                out["v"].extend(v for v in part["v"] for _ in range(order.shape[1]))
-                out["vec_id"].extend(first[flat])
-                out["score"].extend(np.take_along_axis(scores, order, 1).ravel())
-                out["ids"].extend(members[flat])
-        kinds = {"h": "int64", "v": object, "vec_id": "int64", "score": "float64", "ids": object}
-        return pd.DataFrame({c: pd.Series(x, dtype=kinds[c]) for c, x in out.items()})
+            vectors, asked = _unpacked(page.column("v")), _unpacked(queries.column("v"))
+            members = page.column("ids").combine_chunks()
+            first = pc.list_element(members, 0).to_numpy()
+            h, query, floors = (queries.column(c).to_numpy() for c in ("h", "query", "floor"))
+            longest = np.sqrt((vectors**2).sum(1).max())
+            for at in range(0, len(asked), 64):
+                part, need = asked[at : at + 64], floors[at : at + 64]
+                rough = part @ vectors.T
+                if len(vectors) > k:
+                    margin = 1e-9 * longest * np.sqrt((part**2).sum(1))
+                    need = np.maximum(need, np.partition(rough, len(vectors) - k, axis=1)[:, len(vectors) - k] - margin)
+                q, v = np.nonzero(rough >= need[:, None])
+                score = np.einsum("nd,nd->n", part[q], vectors[v])
+                order = np.lexsort((first[v], -score, q))
+                q, v, score = q[order], v[order], score[order]
+                best = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, v, score = q[best], v[best], score[best]
+                out.append(pa.table([pa.array(h[at + q]), pa.array(query[at + q]), pa.array(first[v]), pa.array(score), members.take(pa.array(v))], names=names))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()))
+        return pa.concat_tables(out) if out else pa.schema(list(zip(names, kinds))).empty_table()
 
     return run

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from edge_rows import ROWS, edge_docs, empty_docs
 from pyspark.sql import functions as F
@@ -166,3 +167,22 @@ def test_toxicity_edges(spark):
     assert len(scored) == len(ROWS) and all(0 <= r["t"]["score"] <= 1 for r in scored)
     for nothing in (toxicity.fit(empty_docs(spark), labels), toxicity.fit(edge_docs(spark), labels.where("false"))):
         assert nothing.score("one two")[0] == 0.0
+
+
+def test_lists_send_on_only_what_may_be_among_the_nearest():
+    """Beyond a query's nearest lists, an entry below the bound by the sample stays where it is."""
+    rng = np.random.default_rng(9)
+    vectors, asked = rng.normal(size=(2000, 16)), rng.normal(size=(8, 16))
+    floors = ann._floors(asked, vectors[:500], 21)
+    kth = np.sort(asked @ vectors[:500].T, axis=1)[:, -21]
+    assert (floors <= kth).all() and np.allclose(floors, kth)
+    queries = pa.table({"h": list(range(8)), "query": list(range(8)), "v": ann._bytes(asked), "floor": floors})
+    rows = 0
+    for at in range(0, 2000, 100):
+        page = pa.table({"v": ann._bytes(vectors[at : at + 100]), "ids": [[i] for i in range(at, at + 100)]})
+        sent = ann._scored(21)(page, queries).to_pylist()
+        rows += len(sent)
+        assert all(r["score"] >= floors[r["query"]] for r in sent)
+        best = {(q, at + v) for q, v in zip(*np.nonzero(asked @ vectors[at : at + 100].T >= np.sort(asked @ vectors.T, axis=1)[:, -21][:, None]))}
+        assert best <= {(r["query"], r["vec_id"]) for r in sent}
+    assert rows < 8 * 20 * 21 / 3

@@ -25,6 +25,11 @@ COMMON = 0.70
 #: four standard deviations below. Signs are of full sets: sketches of sets of unlike size cover unlike ranges of values.
 SIGNS = 47
 SLACK = 0.15
+#: Parity bits of a full set, and as many after folding for postings (four longs). Each value flips one bit, so two sets differ in
+#: at least as many values as bits.
+PARITY = 1024
+FOLDED = 256
+FOLDS = tuple(f"odd{i}" for i in range(FOLDED // 64))
 
 
 def signs(values: np.ndarray) -> int:
@@ -37,6 +42,17 @@ def signs(values: np.ndarray) -> int:
     return int(np.packbits(bit.astype(np.uint8)).view(np.int64)[0])
 
 
+def parity(values: np.ndarray) -> bytes:
+    """``PARITY`` bits: how many values of the set fall on each, modulo 2."""
+    at = (mix(values + np.uint64(1)) & np.uint64(PARITY - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=PARITY) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(raw: bytes) -> np.ndarray:
+    """Parity bits of ``FOLDED`` places, as longs."""
+    return np.bitwise_xor.reduce(np.frombuffer(raw, np.int64).reshape(-1, FOLDED // 64))
+
+
 def prefix_length(n: int, sketch: int, threshold: float) -> int:
     """How many of the rarest of ``n`` retained values must meet a linked document's."""
     least = int(np.ceil(threshold * n - 1e-9)) if n <= threshold * sketch else int(COMMON * n)
@@ -52,24 +68,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
 
     Equal sets are made one class first. Each class keeps the ``sketch`` smallest values of its set, and posts the rarest
     of them, as many as any linked document must share one of; rarity comes from counts of values by their last 16 bits.
-    Lists are compared by ``linked_groups``; pairs whose sizes, prefix positions or sign bits (of the full sets) rule a link out go first,
-    then those whose union sketch estimates less than the threshold by ``SLACK``, and full sets decide. Below the
+    Lists are compared by ``linked_groups``; pairs whose sizes, prefix positions, parity bits or sign bits (of the full sets) rule a
+    link out go first, then, before any set is moved, those whose unfolded parity bits do, then those whose union sketch
+    estimates less than the threshold by ``SLACK``, and full sets decide. Parity bits lose nothing. Below the
     sketch size sketches are the full sets and signs are not asked, so nothing can be lost; above, the sign test loses a pair
     at the threshold of 0.8 with a probability of about 4e-5, one at 0.85 7e-7 (binomial), and the sketch's margins
     are four standard deviations or more.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = cut_lineage(rows.mapInArrow(_signatures(size, sketch), "doc_id long, n int, hi long, lo long, sketch binary, signs long"))
+    found = cut_lineage(rows.mapInArrow(_signatures(size, sketch), "doc_id long, n int, hi long, lo long, sketch binary, signs long, odd binary"))
     real = found.where("n > 0 and doc_id is not null")
     classes = cut_lineage(real.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node")))
     # Rows that no copy's bit marks are their class's first; only the few others need a look-up.
-    named = real.withColumnRenamed("doc_id", "node").select("hi", "lo", "n", "node", "sketch", "signs", slot(F.col("node")).alias("slot"))
+    named = real.withColumnRenamed("doc_id", "node").select("hi", "lo", "n", "node", "sketch", "signs", "odd", slot(F.col("node")).alias("slot"))
     copies = real.select("hi", "lo", "n", F.col("doc_id").alias("node")).join(classes, ["hi", "lo", "n", "node"], "left_anti")
     marks = bitmap(copies, slot(F.col("node")))
-    shape = "hi long, lo long, n int, node long, sketch binary, signs long"
+    shape = "hi long, lo long, n int, node long, sketch binary, signs long, odd binary"
     looked_up = named.mapInArrow(_by_mark(marks, True), shape).join(classes, ["hi", "lo", "n", "node"], "left_semi")
     looked_up = cut_lineage(looked_up.dropDuplicates(["hi", "lo", "n", "node"]))
-    reps = named.mapInArrow(_by_mark(marks, False), shape).unionByName(looked_up).select("node", "n", "sketch", "signs")
+    reps = named.mapInArrow(_by_mark(marks, False), shape).unionByName(looked_up).select("node", "n", "sketch", "signs", "odd")
 
     weights = np.zeros(WEIGHTS, np.int64)
     for row in reps.select("sketch").mapInArrow(_bucket_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
@@ -78,28 +95,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
     def postings(marks: bytes | None) -> DataFrame:
         if marks is None:
             return reps.mapInArrow(_postings(weights, sketch, threshold, None), "key long, prio long")
-        return reps.mapInArrow(_postings(weights, sketch, threshold, marks), "key long, node long, prio long, n int, upto int, ratio int, signs long")
+        return reps.mapInArrow(_postings(weights, sketch, threshold, marks), "key long, node long, prio long, n int, upto int, ratio int, signs long, " + ", ".join(f"{c} long" for c in FOLDS))
+
+    unlike = (1 - threshold) / (1 + threshold)  # of both sizes, as many values at most differ
 
     def near(mine, other):
         low, high = F.least(mine("n"), other("n")), F.greatest(mine("n"), other("n"))
         fits = (mine("n") <= other("upto")) & (other("n") <= mine("upto")) & (1000 * low <= F.least(mine("ratio"), other("ratio")) * high)
+        apart = sum((F.bit_count(mine(c).bitwiseXOR(other(c))) for c in FOLDS), F.lit(0))
+        fits = fits & (apart <= F.lit(unlike) * (low + high) + 1e-6)
         return fits & ((high <= sketch) | (F.bit_count(mine("signs").bitwiseXOR(other("signs"))) <= 64 - SIGNS))
 
     full: list[DataFrame] = []  # sets of the nodes asked for so far
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = bitmap(_ends(pairs), slot(F.col("node")))
+        bits = found.select(F.col("doc_id").alias("node"), "n", "odd", slot(F.col("doc_id")).alias("slot")).where("n > 0 and node is not null")
+        bits = cut_lineage(bits.mapInArrow(_by_mark(asked, True), "node long, n int, odd binary").distinct())
+        left, right = (bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("odd").alias(f"o{x}")) for x in "ab")
+        pairs = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "oa", "ob")
+        pairs = cut_lineage(pairs.mapInArrow(_maybe(unlike), "a long, b long").distinct())
+        ends = cut_lineage(_ends(pairs))
+        wanted = ends
         for table in full:
             wanted = wanted.join(table, "node", "left_anti")
-        wanted = cut_lineage(wanted)
+        wanted = cut_lineage(wanted) if full else ends
         if not full or not wanted.isEmpty():
             maybe = rows.withColumn("slot", slot(F.col("doc_id"))).mapInArrow(_sets(size, bitmap(wanted, slot(F.col("node")))), "node long, values binary")
             full.append(cut_lineage(maybe.join(wanted, "node", "left_semi").dropDuplicates(["node", "values"])))
-        sets = reduce(DataFrame.unionByName, full)
+        sets = reduce(DataFrame.unionByName, full).withColumn("slot", slot(F.col("node")))
+        sets = sets.mapInArrow(_by_mark(bitmap(ends, slot(F.col("node"))), True), "node long, values binary")
         left, right = sets.select(F.col("node").alias("a"), F.col("values").alias("va")), sets.select(F.col("node").alias("b"), F.col("values").alias("vb"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "va", "vb").mapInArrow(_alike(threshold, sketch), "a long, b long").distinct()
 
-    roots = linked_groups(postings, near, verify)
+    roots = linked_groups(postings, near, verify, same=("n", "signs", *FOLDS))
     placed = classes.join(roots, "node", "left").select("hi", "lo", "n", F.coalesce("root", "node").alias("component"))
     least = found.join(placed, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return least.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -108,14 +137,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, sket
 def _signatures(size: int, sketch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hi, lo, low, bits = [], [], [], [], []
+            n, hi, lo, low, bits, odd = [], [], [], [], [], []
             for values in shingle_sets(batch.column(1), size):
                 n.append(len(values))
                 hi.append(int(np.add.reduce(values, dtype=np.uint64).view(np.int64)))
                 lo.append(int(np.bitwise_xor.reduce(mix(values), initial=np.uint64(0)).view(np.int64)))
                 low.append(values[:sketch].tobytes())
                 bits.append(signs(values))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.binary()), pa.array(bits, pa.int64())], names=["doc_id", "n", "hi", "lo", "sketch", "signs"])
+                odd.append(parity(values))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(low, pa.binary()), pa.array(bits, pa.int64()), pa.array(odd, pa.binary())], names=["doc_id", "n", "hi", "lo", "sketch", "signs", "odd"])
 
     return run
 
@@ -129,11 +159,31 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used], pa.int64())], names=["bucket", "n"])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def _maybe(unlike: float):
+    """Pairs whose sets' parity bits differ in no more places than linked sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in (4, 5))
+            apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+            yield batch.select([0, 1]).filter(pa.array(apart <= unlike * (na.astype(np.int64) + nb) + 1e-6))
+
+    return run
+
+
 def _by_mark(marks: bytes, wanted: bool):
+    """Rows whose last column is the place of a set bit (or of one not set), without that column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = marked(marks, batch.column(6).to_numpy())
-            yield batch.filter(pa.array(hit == wanted)).select([0, 1, 2, 3, 4, 5])
+            slots = batch.num_columns - 1
+            hit = marked(marks, batch.column(slots).to_numpy())
+            yield batch.filter(pa.array(hit == wanted)).select(list(range(slots)))
 
     return run
 
@@ -149,8 +199,8 @@ def _postings(weights: np.ndarray, sketch: int, threshold: float, marks: bytes |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chance = 4.5 * np.sqrt(sketch * threshold * (1 - threshold))
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], []] if marks is None else [[], [], [], [], [], [], []]
-            for node, n, raw, sign in zip(*(c.to_pylist() for c in batch.columns)):
+            out: list[list[np.ndarray]] = [[] for _ in range(2 if marks is None else 7 + len(FOLDS))]
+            for node, n, raw, sign, odd in zip(*(c.to_pylist() for c in batch.columns)):
                 values = np.frombuffer(raw, np.uint64)
                 weight = weights[(values & np.uint64(WEIGHTS - 1)).astype(np.int64)]
                 take = prefix_length(len(values), sketch, threshold)
@@ -170,11 +220,11 @@ def _postings(weights: np.ndarray, sketch: int, threshold: float, marks: bytes |
                     else:
                         upto = np.full(len(keys), np.floor(n / threshold + 1e-9))
                         ratio = np.clip(np.ceil(1000 * ((left + chance) / (threshold / (1 + threshold) * len(values)) - 1)), 0, 1000)
-                    columns = (keys, np.full(len(keys), node), np.full(len(keys), prio), np.full(len(keys), n), np.minimum(upto, 2**31 - 1), ratio, np.full(len(keys), sign))
+                    columns = (keys, np.full(len(keys), node), np.full(len(keys), prio), np.full(len(keys), n), np.minimum(upto, 2**31 - 1), ratio, np.full(len(keys), sign), *(np.full(len(keys), x) for x in folded(odd)))
                 for column, x in zip(out, columns):
                     column.append(x)
             if out[0]:
-                kinds = {"key": pa.int64(), "prio": pa.int64()} if marks is None else {"key": pa.int64(), "node": pa.int64(), "prio": pa.int64(), "n": pa.int32(), "upto": pa.int32(), "ratio": pa.int32(), "signs": pa.int64()}
+                kinds = {"key": pa.int64(), "prio": pa.int64()} if marks is None else {"key": pa.int64(), "node": pa.int64(), "prio": pa.int64(), "n": pa.int32(), "upto": pa.int32(), "ratio": pa.int32(), "signs": pa.int64(), **dict.fromkeys(FOLDS, pa.int64())}
                 arrays = [pa.array(np.concatenate(c).astype(t.to_pandas_dtype()), t) for c, t in zip(out, kinds.values())]
                 yield pa.RecordBatch.from_arrays(arrays, names=list(kinds))
 
